@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import p7_encode, p8_mix, p9_split
+from tessera.llm import p1_encoding, p7_encode, p8_mix, p9_split
 from tessera.sources.tables import table
 
 
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_encoding.garbled_fields(table(spark, folder, "pages"), table(spark, folder, "extracted"), table(spark, folder, "lang_samples"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_repaired(spark, folder).select("page_id", "field_name").distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode_texts(table(spark, folder, "documents"))
 
@@ -28,6 +36,8 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_repaired": p1_repaired,
         "p7_ids": p7_ids,
         "p8_mix": p8_mix_rows,
         "p8_shares": p8_shares,
