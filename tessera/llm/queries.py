@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import p1_encoding, p7_encode, p8_mix, p9_split
+from tessera.llm import p1_encoding, p2_site_lines, p4_near_copies, p7_encode, p8_mix, p9_split
 from tessera.sources.tables import table
 
 
@@ -18,6 +18,28 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_repaired(spark, folder).select("page_id", "field_name").distinct()
 
 
+def p2_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_site_lines.repeated_lines(table(spark, folder, "scrapes"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_lines(spark, folder).select("scrape_id", "line_no")
+
+
+def p2_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    scrapes = table(spark, folder, "scrapes").select("scrape_id", "url", "markdown").distinct()
+    return p2_site_lines.without_lines(scrapes, p2_lines(spark, folder)).select("scrape_id", "markdown", "removed_lines")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p4_near_copies.near_pairs(table(spark, folder, "scrapes"), least=0.6)
+    return pairs.select("scrape_a", "scrape_b")
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_near_copies.near_groups(table(spark, folder, "scrapes"), least=0.6)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode_texts(table(spark, folder, "documents"))
 
@@ -38,6 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_repaired": p1_repaired,
+        "p2_found": p2_found,
+        "p2_cleaned": p2_cleaned,
+        "p4_found": p4_found,
+        "p4_groups": p4_groups,
         "p7_ids": p7_ids,
         "p8_mix": p8_mix_rows,
         "p8_shares": p8_shares,
