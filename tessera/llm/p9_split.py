@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import TOKENIZER_FILE, Encoder, encoder
+from tessera.session import settle
 
 #: Code points of one range of a long text, and of the halo that its neighbours share with it.
 RANGE_CHARS = 65_536
@@ -22,6 +23,9 @@ LEAST_FILL = 0.5
 #: Kinds of boundaries, strongest last.
 ANY, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 
+#: Words of more tokens than this may be cut inside.
+LONG_WORD_TOKENS = 8
+
 _CUTS = [
     (PARAGRAPH, regex.compile(r"\n[ \t]*\n\s*")),
     (LINE, regex.compile(r"\n")),
@@ -32,29 +36,32 @@ _CUTS = [
 _SYNC = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
 
 
-def boundary_table(text: str, words: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places where ``text`` may be cut: code point offsets, tokens before them, kind of each.
+def boundary_table(text: str, words: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places where ``text`` may be cut: code point offsets, tokens before them, kind, whether inside a word.
 
     Ends of words of the tokenizer are cheap to cut, since the ids on both sides stay as they are; a word of many
     tokens also offers its inner token ends that lie between two code points.
     """
-    offsets, tokens, at, seen = [0], [0], 0, 0
-    for word in words.split.findall(text):
-        ids = words.words[word]
-        if len(ids) > 8:
-            inner, size, starts = 0, 0, _char_starts(word)
-            for i in ids[:-1]:
-                inner += 1
-                size += len(words.pieces[i])
-                place = starts.get(size)
-                if place is not None:
-                    offsets.append(at + place)
-                    tokens.append(seen + inner)
-        at += len(word)
-        seen += len(ids)
-        offsets.append(at)
-        tokens.append(seen)
-    places = np.array(offsets, dtype=np.int64)
+    split = words.split.findall(text)
+    ids = list(map(words.words.__getitem__, split))
+    n = len(split)
+    places, tokens = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=n), out=places[1:])
+    np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=n), out=tokens[1:])
+    more_places, more_tokens = [], []
+    for k in np.flatnonzero(np.diff(tokens) > LONG_WORD_TOKENS).tolist():
+        size, starts = 0, _char_starts(split[k])
+        for inner, i in enumerate(ids[k][:-1], 1):
+            size += len(words.pieces[i])
+            if size in starts:
+                more_places.append(int(places[k]) + starts[size])
+                more_tokens.append(int(tokens[k]) + inner)
+    inside = np.zeros(n + 1, dtype=bool)
+    if more_places:
+        places, tokens = np.concatenate([places, more_places]), np.concatenate([tokens, more_tokens])
+        inside = np.concatenate([inside, np.ones(len(more_places), dtype=bool)])
+        order = np.argsort(places, kind="stable")
+        places, tokens, inside = places[order], tokens[order], inside[order]
     kinds = np.zeros(len(places), dtype=np.int8)
     for kind, pattern in reversed(_CUTS):
         ends = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64)
@@ -63,7 +70,7 @@ def boundary_table(text: str, words: Encoder) -> tuple[np.ndarray, np.ndarray, n
             found = np.searchsorted(places, ends, side="right") - 1
             found = found[ends - places[found] <= 1]
             kinds[found] = np.maximum(kinds[found], kind)
-    return places, np.array(tokens, dtype=np.int64), kinds
+    return places, tokens, kinds, inside
 
 
 def _char_starts(word: str) -> dict[int, int]:
@@ -75,13 +82,14 @@ def _char_starts(word: str) -> dict[int, int]:
 
 
 def choose_cuts(places: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces as (start, end) code point offsets; each within ``limit`` tokens of the text's own encoding.
+    """Pieces as (start, end) code point offsets, each within ``limit`` tokens of the text's own encoding.
 
     The next piece starts at the last boundary that leaves at least ``overlap`` shared tokens, but always after
     the start of the piece before it, and always so that it ends after it.
     """
     pieces, first, last = [], 0, len(places) - 1
-    spots = [np.flatnonzero(kinds >= k) for k in range(PARAGRAPH + 1)]
+    spots = [np.flatnonzero(kinds >= k).tolist() for k in range(PARAGRAPH + 1)]
+    places, tokens = places.tolist(), tokens.tolist()
     while True:
         end = bisect_right(tokens, tokens[first] + limit) - 1
         if end >= last:
@@ -101,22 +109,41 @@ def choose_cuts(places: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, limit
         first = min(max(back, first + 1), cut)
 
 
-def _fitting(text: str, start: int, end: int, limit: int, words: Encoder) -> int:
-    """Tokens of the piece as it stands; cutting may join white space, never more tokens than the text's own count."""
-    return words.count(text[start:end])
+def _sizes(text: str, cuts: list[tuple[int, int]], table: tuple, words: Encoder) -> list[int]:
+    """Tokens of each piece encoded by itself.
+
+    A piece between two word ends has the words of the whole text, but for white space at its end, whose words
+    join; a piece that begins or ends inside a word is encoded again.
+    """
+    places, tokens, _, inside = table
+    out = []
+    for a, b in cuts:
+        i, j = int(np.searchsorted(places, a)), int(np.searchsorted(places, b))
+        piece = text[a:b]
+        bare = a + len(piece.rstrip())
+        if inside[i] or inside[j]:
+            out.append(words.count(piece))
+        elif bare == b:
+            out.append(int(tokens[j] - tokens[i]))
+        else:
+            k = int(np.searchsorted(places, max(bare, a)))
+            if places[k] == bare:
+                out.append(int(tokens[k] - tokens[i]) + words.count(text[bare:b]))
+            else:
+                out.append(words.count(piece))
+    return out
 
 
-def _pieces_of(text: str, limit: int, overlap: int, words: Encoder, table: tuple | None = None) -> list[tuple[int, int, int, int]]:
+def _pieces_of(text: str, limit: int, overlap: int, words: Encoder, table: tuple) -> list[tuple[int, int, int, int]]:
     """(start, end, n_tokens, shared) of each piece of a whole text; n_tokens is the piece's own count.
 
-    Where a piece encoded by itself has more tokens than the limit (its first word was cut), the cuts are made
-    again with a limit that is lower by the excess.
+    Where a piece encoded by itself has more tokens than the limit (a word was cut inside), the cuts are made again
+    with a limit that is lower by the excess.
     """
-    table = table or boundary_table(text, words)
     lower = limit
     while True:
-        cuts = choose_cuts(*table, lower, min(overlap, max(0, lower - 1)))
-        sizes = [_fitting(text, a, b, limit, words) for a, b in cuts]
+        cuts = choose_cuts(*table[:3], lower, min(overlap, max(0, lower - 1)))
+        sizes = _sizes(text, cuts, table, words)
         excess = max((n for n, (a, b) in zip(sizes, cuts) if b - a > 1), default=0) - limit
         if excess <= 0 or lower <= 1:
             break
@@ -138,7 +165,8 @@ def split_oversized(documents: DataFrame, limits: DataFrame, *, id_col: str = "d
     Columns: ``doc_id, source, piece_no`` (from 1), ``start_char, end_char`` (code points, end excluded),
     ``n_tokens`` (of the piece encoded by itself), ``shared_chars`` (its overlap with the piece before),
     ``piece``. Texts within their limit, null and empty texts, null sources and sources without a positive limit
-    give nothing. A source listed twice has its lowest limit. Repeated rows give repeated pieces' rows only once.
+    give nothing. A source listed twice has its lowest limit. A text up to ``range_chars`` that is delivered twice
+    gives its pieces twice, a longer one once; ids are unique in a table of texts.
 
     Texts up to ``range_chars`` are cut by the worker that reads them. Longer ones are exploded into ranges with
     halos: each range is counted by itself from its first to its last safe place, the boundary tables are stitched
@@ -151,7 +179,7 @@ def split_oversized(documents: DataFrame, limits: DataFrame, *, id_col: str = "d
     texts = texts.join(rules, "source").where(F.octet_length("text") > F.col("max_tokens"))
     small = texts.where(F.char_length("text") <= range_chars)
     long = texts.where(F.char_length("text") > range_chars).dropDuplicates(["doc_id"])
-    return _split_small(small, tokenizer).dropDuplicates(["doc_id", "piece_no"]).unionByName(_split_long(long, tokenizer, range_chars, halo_chars))
+    return _split_small(small, tokenizer).unionByName(_split_long(long, tokenizer, range_chars, halo_chars))
 
 
 def _split_small(texts: DataFrame, tokenizer: str) -> DataFrame:
@@ -162,9 +190,9 @@ def _split_small(texts: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc, source, text, limit, overlap in zip(*(c.to_pylist() for c in batch.columns)):
-                table = boundary_table(text, words)
-                if table[1][-1] <= limit:
+                if words.count(text) <= limit:
                     continue
+                table = boundary_table(text, words)
                 for no, (a, b, n, shared) in enumerate(_pieces_of(text, limit, max(0, overlap), words, table), 1):
                     for column, value in zip(rows, (doc, source, no, a, b, n, shared, text[a:b])):
                         column.append(value)
@@ -194,7 +222,7 @@ def _split_long(texts: DataFrame, tokenizer: str, size: int, halo: int) -> DataF
                     for column in rows:  # no safe place in the halo: the text is cut as one, see below
                         column.append(None)
                     continue
-                places, tokens, kinds = boundary_table(chunk[first:last], words)
+                places, tokens, kinds, _ = boundary_table(chunk[first:last], words)
                 for column, value in zip(rows, (places + begin + first, tokens, kinds.astype(np.int32))):
                     column.append(value)
                 rows[3].append(int(tokens[-1]))
@@ -221,7 +249,7 @@ def _split_long(texts: DataFrame, tokenizer: str, size: int, halo: int) -> DataF
         return pd.DataFrame({"doc_id": doc, "piece_no": range(1, len(cuts) + 1), "start_char": [a for a, _ in cuts], "end_char": [b for _, b in cuts],
                              "shared_chars": [max(0, e - a) for e, (a, _) in zip(ends, cuts)]})
 
-    cuts = table.groupBy("doc_id").applyInPandas(stitch, "doc_id bigint, piece_no int, start_char bigint, end_char bigint, shared_chars int")
+    cuts = settle(table.groupBy("doc_id").applyInPandas(stitch, "doc_id bigint, piece_no int, start_char bigint, end_char bigint, shared_chars int"))
     touched = F.sequence((F.col("start_char") / size).cast("int"), ((F.col("end_char") - 1) / size).cast("int"))
     wanted = cuts.where("piece_no > 0").withColumn("range_no", F.explode(touched))
     own = F.substring("chunk", (F.col("range_no").cast("bigint") * size - F.col("begin") + 1).cast("int"), size)
@@ -241,6 +269,7 @@ def _split_long(texts: DataFrame, tokenizer: str, size: int, halo: int) -> DataF
 
     columns = "doc_id bigint, source string, piece_no int, start_char bigint, end_char bigint, shared_chars int, piece string, max_tokens int"
     whole = whole.select("doc_id", "source", "piece_no", "start_char", "end_char", "shared_chars", "piece", "max_tokens").mapInArrow(checked, columns + ", n_tokens int")
+    whole = settle(whole)
     # texts that had no safe place in some halo, or whose first cut word made a piece too large, are cut as one
     over = whole.where("n_tokens > max_tokens").select("doc_id").unionByName(cuts.where("piece_no = 0").select("doc_id")).distinct()
     fine = whole.join(over, "doc_id", "left_anti").select("doc_id", "source", "piece_no", "start_char", "end_char", "n_tokens", "shared_chars", "piece")
