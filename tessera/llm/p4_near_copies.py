@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import settle
@@ -30,6 +30,9 @@ SHINGLE, LEAST_WORDS = 5, 60
 #: Fingerprint: at a similarity of 0.6 two texts meet with probability 0.975, at 0.7 with 0.996, at 0.8 with 0.9997.
 N_SYMBOLS, DIMENSION = 9, 3
 MODULUS = (1 << 31) - 1
+#: Bins of the one-permutation sketch that texts are compared by at an anchor before they are compared exactly, and the
+#: standard deviations by which a pair at the wanted similarity may differ more than expected there (a loss of 3e-5).
+SKETCH_BINS, SKETCH_SIGMAS = 128, 4.0
 #: Members of one block of an anchor; anchors with more are cut into blocks and compared block by block.
 BLOCK = 512
 #: Words remembered by a worker; emptied when full.
@@ -99,6 +102,18 @@ def symbols(hashes: np.ndarray, offsets: np.ndarray, n_symbols: int = N_SYMBOLS)
     return out
 
 
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Four 64-bit numbers a text: which of ``SKETCH_BINS`` bins have a shingle (two), and a bit of the lowest in each."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    bins = (hashes >> np.uint64(57)).astype(np.int64)
+    first = np.r_[True, (owner[1:] != owner[:-1]) | (bins[1:] != bins[:-1])]
+    full, bit = np.zeros((n, SKETCH_BINS), dtype=np.uint8), np.zeros((n, SKETCH_BINS), dtype=np.uint8)
+    full[owner[first], bins[first]] = 1
+    bit[owner[first], bins[first]] = (_mixed(hashes[first]) >> np.uint64(17)).astype(np.uint8) & 1
+    return np.hstack([np.packbits(x, axis=1).view(np.int64) for x in (full, bit)])
+
+
 def _inverse(x: int) -> int:
     return pow(x, MODULUS - 2, MODULUS)
 
@@ -134,14 +149,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         which, hashes, offsets = shingles(batch.column(1).to_pylist())
-        names = ["scrape_id", "class_a", "class_b", "symbols"]
+        names = ["scrape_id", "class_a", "class_b", "symbols", "sketch"]
         if not len(which):
             continue
         words = symbols(hashes, offsets)
         sums = np.add.reduceat(_mixed(hashes), offsets[:-1])
         xors = np.bitwise_xor.reduceat(_mixed(hashes + np.uint64(7)), offsets[:-1])
+        four = pa.FixedSizeListArray.from_arrays(pa.array(sketches(hashes, offsets).reshape(-1)), 4).cast(pa.list_(pa.int64()))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(words.reshape(-1)), N_SYMBOLS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[which], pa.int64()), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), lists], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[which], pa.int64()), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), lists, four], names=names)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +174,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes_of(df: DataFrame, id_col: str = "scrape_id", text_col: str = "markdown") -> DataFrame:
-    """``(scrape_id, rep, symbols)``: texts with the same set of shingles share a representative, the lowest id. Settled."""
+    """``(scrape_id, rep, symbols, sketch)``: texts with the same set of shingles share a representative, the lowest id. Settled."""
     source = df.select(df[id_col].cast("bigint").alias("scrape_id"), df[text_col].alias("t")).where("scrape_id is not null and t is not null")
-    prints = settle(source.mapInArrow(_fingerprints, "scrape_id bigint, class_a bigint, class_b bigint, symbols array<bigint>"))
+    prints = settle(source.mapInArrow(_fingerprints, "scrape_id bigint, class_a bigint, class_b bigint, symbols array<bigint>, sketch array<bigint>"))
     reps = prints.groupBy("class_a", "class_b").agg(F.min("scrape_id").alias("rep"))
-    return settle(prints.join(reps, ["class_a", "class_b"]).select("scrape_id", "rep", "symbols").dropDuplicates(["scrape_id"]))
+    return settle(prints.join(reps, ["class_a", "class_b"]).select("scrape_id", "rep", "symbols", "sketch").dropDuplicates(["scrape_id"]))
+
+
+def _alike(least: float) -> Column:
+    """Whether the sketches l0…l3 and r0…r3 differ in no more bits than texts of that similarity do."""
+    both = [F.col(f"l{k}").bitwiseAND(F.col(f"r{k}")) for k in (0, 1)]
+    differ = [F.col(f"l{k + 2}").bitwiseXOR(F.col(f"r{k + 2}")).bitwiseAND(both[k]) for k in (0, 1)]
+    n, d = (F.bit_count(x[0]) + F.bit_count(x[1]) for x in (both, differ))
+    rate = (1 - least) / 2
+    return d <= n * rate + SKETCH_SIGMAS * F.sqrt(n * rate * (1 - rate)) + 1
 
 
-def meeting_pairs(classes: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: representatives that meet at an anchor, each pair once.
+def meeting_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``, a < b: representatives that meet at an anchor and whose sketches are alike, each pair once.
 
     Anchors with one member are dropped. Those with more than ``BLOCK`` members are cut into blocks that meet
     pairwise, so no task holds more than two blocks of an anchor, whatever part of all rows shares it.
@@ -175,14 +200,18 @@ def meeting_pairs(classes: DataFrame) -> DataFrame:
     rows = reps.mapInArrow(_anchor_rows, "anchor bigint, id bigint").repartition("anchor")
     sizes = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = rows.join(sizes.hint("merge"), "anchor").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    shared = settle(shared.select("anchor", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int").alias("block")))
+    marks = classes.where("scrape_id = rep").select(F.col("rep").alias("id"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(4)))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")
+    shared = settle(shared.select("anchor", "id", "blocks", block.alias("block")))
+    shared = shared.join(marks, "id")
     other = shared.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    other = other.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id")
-    left, right = other.alias("l"), other.alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("anchor", "low", "high")]
-    across = (F.col("l.low") == F.col("l.high")) | (F.col("l.block") != F.col("r.block"))
-    met = left.join(right, same[0] & same[1] & same[2] & (F.col("l.id") < F.col("r.id")) & across)
-    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    other = other.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id", *(f"s{k}" for k in range(4)))
+    other = other.repartition("anchor", "low", "high")
+    left = other.select("anchor", "low", "high", F.col("block").alias("x"), F.col("id").alias("a"), *(F.col(f"s{k}").alias(f"l{k}") for k in range(4)))
+    right = other.select("anchor", "low", "high", F.col("block").alias("y"), F.col("id").alias("b"), *(F.col(f"s{k}").alias(f"r{k}") for k in range(4)))
+    across = (F.col("low") == F.col("high")) | (F.col("x") != F.col("y"))
+    met = left.join(right, ["anchor", "low", "high"]).where((F.col("a") < F.col("b")) & across & _alike(least))
+    return met.select("a", "b").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +247,7 @@ def near_links(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "mar
     ``LEAST_WORDS`` words, null texts and null ids take no part; repeated rows count once.
     """
     classes = classes_of(df, id_col, text_col)
-    pairs = settle(meeting_pairs(classes))
+    pairs = settle(meeting_pairs(classes, least))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].alias("t")).where("t is not null")
     texts = texts.join(needed, "id", "left_semi")
