@@ -26,24 +26,45 @@ ANY, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 #: Words of more tokens than this may be cut inside.
 LONG_WORD_TOKENS = 8
 
-_CUTS = [
-    (PARAGRAPH, regex.compile(r"\n[ \t]*\n\s*")),
-    (LINE, regex.compile(r"\n")),
-    (SENTENCE, regex.compile(r"[.!?…]+[\"'”’»)\]]*\s|[。！？][」』]?")),
-    (CLAUSE, regex.compile(r"[,;:–—]\s|[、，；：]")),
-    (SPACE, regex.compile(r"\s+")),
-]
+_PARAGRAPHS = regex.compile(r"\n[ \t]*\n\s*")
+_ENDS, _WIDE_ENDS = np.array([ord(c) for c in ".!?…"]), np.array([ord(c) for c in "。！？"])
+_CLOSERS = np.array([ord(c) for c in "\"'”’»)]」』"])
+_STOPS, _WIDE_STOPS = np.array([ord(c) for c in ",;:–—"]), np.array([ord(c) for c in "、，；："])
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()])
 _SYNC = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
 
 
-def boundary_table(text: str, words: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def encoded(text: str, words: Encoder) -> tuple[list[str], list[tuple[int, ...]]]:
+    """The words of the tokenizer in ``text`` and their ids."""
+    split = words.split.findall(text)
+    return split, list(map(words.words.__getitem__, split))
+
+
+def boundary_kinds(text: str, places: np.ndarray) -> np.ndarray:
+    """How natural a cut at each place is, by the characters around it."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    padded = np.concatenate([[0, 0], points, [0]])
+    two, one, after = padded[places], padded[places + 1], padded[places + 2]
+    space = np.isin(after, _SPACES)
+    kinds = np.where(space | np.isin(one, _SPACES), SPACE, ANY).astype(np.int8)
+    kinds[(space & np.isin(one, _STOPS)) | np.isin(one, _WIDE_STOPS)] = CLAUSE
+    closed = np.isin(one, _CLOSERS)
+    kinds[(space & (np.isin(one, _ENDS) | (closed & np.isin(two, _ENDS)))) | np.isin(one, _WIDE_ENDS) | (closed & np.isin(two, _WIDE_ENDS))] = SENTENCE
+    kinds[one == 10] = LINE
+    ends = np.fromiter((m.end() for m in _PARAGRAPHS.finditer(text)), dtype=np.int64)
+    if len(ends):
+        found = np.searchsorted(places, ends, side="right") - 1
+        kinds[found[(ends - places[found] <= 1)]] = PARAGRAPH
+    return kinds
+
+
+def boundary_table(text: str, words: Encoder, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places where ``text`` may be cut: code point offsets, tokens before them, kind, whether inside a word.
 
     Ends of words of the tokenizer are cheap to cut, since the ids on both sides stay as they are; a word of many
     tokens also offers its inner token ends that lie between two code points.
     """
-    split = words.split.findall(text)
-    ids = list(map(words.words.__getitem__, split))
+    split, ids = known or encoded(text, words)
     n = len(split)
     places, tokens = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
     np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=n), out=places[1:])
@@ -62,15 +83,7 @@ def boundary_table(text: str, words: Encoder) -> tuple[np.ndarray, np.ndarray, n
         inside = np.concatenate([inside, np.ones(len(more_places), dtype=bool)])
         order = np.argsort(places, kind="stable")
         places, tokens, inside = places[order], tokens[order], inside[order]
-    kinds = np.zeros(len(places), dtype=np.int8)
-    for kind, pattern in reversed(_CUTS):
-        ends = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64)
-        if len(ends):
-            # a word of the tokenizer takes the space before it along: the cut lies at or just before the match's end
-            found = np.searchsorted(places, ends, side="right") - 1
-            found = found[ends - places[found] <= 1]
-            kinds[found] = np.maximum(kinds[found], kind)
-    return places, tokens, kinds, inside
+    return places, tokens, boundary_kinds(text, places), inside
 
 
 def _char_starts(word: str) -> dict[int, int]:
@@ -190,9 +203,10 @@ def _split_small(texts: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc, source, text, limit, overlap in zip(*(c.to_pylist() for c in batch.columns)):
-                if words.count(text) <= limit:
+                known = encoded(text, words)
+                if sum(map(len, known[1])) <= limit:
                     continue
-                table = boundary_table(text, words)
+                table = boundary_table(text, words, known)
                 for no, (a, b, n, shared) in enumerate(_pieces_of(text, limit, max(0, overlap), words, table), 1):
                     for column, value in zip(rows, (doc, source, no, a, b, n, shared, text[a:b])):
                         column.append(value)
