@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import p1_encoding, p2_site_lines, p4_near_copies, p7_encode, p8_mix, p9_split
+from tessera.llm import p1_encoding, p2_site_lines, p3_residue, p4_near_copies, p7_encode, p8_mix, p9_split
 from tessera.sources.tables import table
 
 
@@ -31,6 +32,19 @@ def p2_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return p2_site_lines.without_lines(scrapes, p2_lines(spark, folder)).select("scrape_id", "markdown", "removed_lines")
 
 
+def p3_residue_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_residue.find_residue(table(spark, folder, "pages"), table(spark, folder, "scrapes"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_residue_rows(spark, folder).select("record_table", "record_id")
+
+
+def p3_kept_scrapes(spark: SparkSession, folder: str) -> DataFrame:
+    found = p3_found(spark, folder).where("record_table = 'scrapes'").select(F.col("record_id").alias("scrape_id"))
+    return table(spark, folder, "scrapes").join(found, "scrape_id", "left_anti").select("scrape_id", "url", "title", "markdown").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = p4_near_copies.near_pairs(table(spark, folder, "scrapes"), least=0.6)
     return pairs.select("scrape_a", "scrape_b")
@@ -62,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_repaired": p1_repaired,
         "p2_found": p2_found,
         "p2_cleaned": p2_cleaned,
+        "p3_found": p3_found,
+        "p3_kept_scrapes": p3_kept_scrapes,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p7_ids": p7_ids,
