@@ -190,28 +190,83 @@ def _alike(least: float) -> Column:
     return d <= n * rate + SKETCH_SIGMAS * F.sqrt(n * rate * (1 - rate)) + 1
 
 
+def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, id) sorted by both to pairs of ids with the same anchor, (a, b, null).
+
+    The members of an anchor with more than ``BLOCK`` of them come out as (id, null, anchor) instead.
+    """
+
+    def out(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if anchor is None else pa.array(anchor)], names=["a", "b", "anchor"])
+
+    def met(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        lengths = np.diff(np.r_[starts, len(keys)])
+        hot = np.repeat(lengths > BLOCK, lengths)
+        if hot.any():
+            yield out(ids[hot], None, keys[hot])
+            keys, ids = keys[~hot], ids[~hot]
+        left, right = [], []
+        for apart in range(1, len(keys)):
+            same = keys[apart:] == keys[:-apart]
+            if not same.any():
+                break
+            left.append(ids[:-apart][same])
+            right.append(ids[apart:][same])
+        if left:
+            yield out(np.concatenate(left), np.concatenate(right), None)
+
+    keys, ids, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        more, who = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if hot is not None:  # the run before is known to be hot and goes on
+            going = int(np.searchsorted(more, hot, side="right"))
+            if going:
+                yield out(who[:going], None, more[:going])
+                more, who = more[going:], who[going:]
+        keys, ids = np.concatenate([keys, more]), np.concatenate([ids, who])
+        if not len(keys):
+            continue
+        hot = None
+        cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last run may go on
+        if cut:
+            yield from met(keys[:cut], ids[:cut])
+        keys, ids = keys[cut:], ids[cut:]
+        if len(keys) > BLOCK:
+            hot = keys[0]
+            yield out(ids, None, keys)
+            keys, ids = keys[:0], ids[:0]
+    if len(keys):
+        yield from met(keys, ids)
+
+
+def _hot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of the members (anchor, id) of hot anchors: every two blocks of an anchor meet in a task of their own."""
+    sizes = members.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
+    cut = cut.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id")
+    left, right = (cut.select("anchor", "low", "high", F.col("block").alias(x), F.col("id").alias(i)) for x, i in (("x", "a"), ("y", "b")))
+    across = (F.col("low") == F.col("high")) | (F.col("x") != F.col("y"))
+    return left.join(right, ["anchor", "low", "high"]).where((F.col("a") < F.col("b")) & across).select("a", "b")
+
+
 def meeting_pairs(classes: DataFrame, least: float) -> DataFrame:
     """``(a, b)``, a < b: representatives that meet at an anchor and whose sketches are alike, each pair once.
 
-    Anchors with one member are dropped. Those with more than ``BLOCK`` members are cut into blocks that meet
+    Anchors are sorted once and read as runs. Those with more than ``BLOCK`` members are cut into blocks that meet
     pairwise, so no task holds more than two blocks of an anchor, whatever part of all rows shares it.
     """
-    reps = classes.where("scrape_id = rep").select("rep", "symbols")
-    rows = reps.mapInArrow(_anchor_rows, "anchor bigint, id bigint").repartition("anchor")
-    sizes = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(sizes.hint("merge"), "anchor").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    marks = classes.where("scrape_id = rep").select(F.col("rep").alias("id"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(4)))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")
-    shared = settle(shared.select("anchor", "id", "blocks", block.alias("block")))
-    shared = shared.join(marks, "id")
-    other = shared.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    other = other.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id", *(f"s{k}" for k in range(4)))
-    other = other.repartition("anchor", "low", "high")
-    left = other.select("anchor", "low", "high", F.col("block").alias("x"), F.col("id").alias("a"), *(F.col(f"s{k}").alias(f"l{k}") for k in range(4)))
-    right = other.select("anchor", "low", "high", F.col("block").alias("y"), F.col("id").alias("b"), *(F.col(f"s{k}").alias(f"r{k}") for k in range(4)))
-    across = (F.col("low") == F.col("high")) | (F.col("x") != F.col("y"))
-    met = left.join(right, ["anchor", "low", "high"]).where((F.col("a") < F.col("b")) & across & _alike(least))
-    return met.select("a", "b").distinct()
+    reps = classes.where("scrape_id = rep")
+    rows = reps.select("rep", "symbols").mapInArrow(_anchor_rows, "anchor bigint, id bigint")
+    runs = rows.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_pairs_of_runs, "a bigint, b bigint, anchor bigint")
+    runs = settle(runs.distinct())
+    met = runs.where("anchor is null").select("a", "b").unionByName(_hot_pairs(runs.where("anchor is not null").select("anchor", F.col("a").alias("id")))).distinct()
+    marks = {x: reps.select(F.col("rep").alias(i), *(F.col("sketch")[k].alias(f"{x}{k}") for k in range(4))) for x, i in (("l", "a"), ("r", "b"))}
+    return met.join(marks["l"], "a").join(marks["r"], "b").where(_alike(least)).select("a", "b")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +306,7 @@ def near_links(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "mar
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].alias("t")).where("t is not null")
     texts = texts.join(needed, "id", "left_semi")
-    sets = settle(texts.mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]))
+    sets = texts.mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"])
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return settle(joined.mapInPandas(_similar(least), "a bigint, b bigint, similarity double")), classes
 
