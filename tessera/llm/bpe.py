@@ -18,7 +18,7 @@ TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed: how the rank file's vocabulary splits a text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered by a worker; the memory is emptied when it is full, which changes no result.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Longer words are encoded afresh, so that the memory stays small.
 LONGEST_REMEMBERED = 64
 _NONE = 1 << 62

@@ -24,13 +24,18 @@ LEAST_FILL = 0.5
 ANY, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 
 #: Words of more tokens than this may be cut inside.
-LONG_WORD_TOKENS = 8
+LONG_WORD_TOKENS = 24
 
 _PARAGRAPHS = regex.compile(r"\n[ \t]*\n\s*")
-_ENDS, _WIDE_ENDS = np.array([ord(c) for c in ".!?…"]), np.array([ord(c) for c in "。！？"])
-_CLOSERS = np.array([ord(c) for c in "\"'”’»)]」』"])
-_STOPS, _WIDE_STOPS = np.array([ord(c) for c in ",;:–—"]), np.array([ord(c) for c in "、，；："])
-_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()])
+#: What a character may be to a cut, as bits of one table over the code points below 2 ** 16. Fixed values.
+_END, _WIDE_END, _CLOSER, _STOP, _WIDE_STOP, _SPACE, _FEED = (1 << k for k in range(7))
+_CLASS = np.zeros(1 << 16, dtype=np.uint8)
+for _bit, _chars in ((_END, ".!?…"), (_WIDE_END, "。！？"), (_CLOSER, "\"'”’»)]」』"), (_STOP, ",;:–—"), (_WIDE_STOP, "、，；："), (_FEED, "\n")):
+    for _char in _chars:
+        _CLASS[ord(_char)] |= _bit
+for _point in range(0x3001):
+    if chr(_point).isspace():
+        _CLASS[_point] |= _SPACE
 _SYNC = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
 
 
@@ -43,14 +48,14 @@ def encoded(text: str, words: Encoder) -> tuple[list[str], list[tuple[int, ...]]
 def boundary_kinds(text: str, places: np.ndarray) -> np.ndarray:
     """How natural a cut at each place is, by the characters around it."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    padded = np.concatenate([[0, 0], points, [0]])
+    padded = np.zeros(len(points) + 3, dtype=np.uint8)
+    padded[2:-1] = _CLASS[np.minimum(points, 0xFFFF)]
     two, one, after = padded[places], padded[places + 1], padded[places + 2]
-    space = np.isin(after, _SPACES)
-    kinds = np.where(space | np.isin(one, _SPACES), SPACE, ANY).astype(np.int8)
-    kinds[(space & np.isin(one, _STOPS)) | np.isin(one, _WIDE_STOPS)] = CLAUSE
-    closed = np.isin(one, _CLOSERS)
-    kinds[(space & (np.isin(one, _ENDS) | (closed & np.isin(two, _ENDS)))) | np.isin(one, _WIDE_ENDS) | (closed & np.isin(two, _WIDE_ENDS))] = SENTENCE
-    kinds[one == 10] = LINE
+    space, ended = (after & _SPACE) > 0, one | np.where((one & _CLOSER) > 0, two, 0)
+    kinds = np.where(space | ((one & _SPACE) > 0), SPACE, ANY).astype(np.int8)
+    kinds[(space & ((one & _STOP) > 0)) | ((one & _WIDE_STOP) > 0)] = CLAUSE
+    kinds[(space & ((ended & _END) > 0)) | ((ended & _WIDE_END) > 0)] = SENTENCE
+    kinds[(one & _FEED) > 0] = LINE
     ends = np.fromiter((m.end() for m in _PARAGRAPHS.finditer(text)), dtype=np.int64)
     if len(ends):
         found = np.searchsorted(places, ends, side="right") - 1
@@ -71,12 +76,9 @@ def boundary_table(text: str, words: Encoder, known: tuple | None = None) -> tup
     np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=n), out=tokens[1:])
     more_places, more_tokens = [], []
     for k in np.flatnonzero(np.diff(tokens) > LONG_WORD_TOKENS).tolist():
-        size, starts = 0, _char_starts(split[k])
-        for inner, i in enumerate(ids[k][:-1], 1):
-            size += len(words.pieces[i])
-            if size in starts:
-                more_places.append(int(places[k]) + starts[size])
-                more_tokens.append(int(tokens[k]) + inner)
+        for place, inner in inner_ends(split[k], ids[k], words.pieces):
+            more_places.append(int(places[k]) + place)
+            more_tokens.append(int(tokens[k]) + inner)
     inside = np.zeros(n + 1, dtype=bool)
     if more_places:
         places, tokens = np.concatenate([places, more_places]), np.concatenate([tokens, more_tokens])
@@ -86,12 +88,18 @@ def boundary_table(text: str, words: Encoder, known: tuple | None = None) -> tup
     return places, tokens, boundary_kinds(text, places), inside
 
 
-def _char_starts(word: str) -> dict[int, int]:
+def inner_ends(word: str, ids: tuple[int, ...], pieces: dict[int, bytes]) -> list[tuple[int, int]]:
+    """(code points, tokens) before each token end inside ``word`` that lies between two code points."""
     starts, size = {}, 0
     for k, c in enumerate(word):
         starts[size] = k
         size += len(c.encode("utf-8", "surrogatepass"))
-    return starts
+    out, size = [], 0
+    for inner, i in enumerate(ids[:-1], 1):
+        size += len(pieces[i])
+        if size in starts:
+            out.append((starts[size], inner))
+    return out
 
 
 def choose_cuts(places: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
