@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled sentences train the network (they are read by the driver).
 TRAINING_ROWS = 5_000
-HIDDEN, STRIDE = 20, 2
-TRAINING_STEPS, BATCH, CROP, RATE, SEED = 320, 64, 176, 8e-3, 11
+HIDDEN, STRIDE = 24, 2
+TRAINING_STEPS, BATCH, CROP, RATE, SEED = 600, 64, 176, 8e-3, 11
 #: Lines read at once; a longer line is read in windows of so many bytes with an overlap on either side.
 LINES_AT_ONCE, WINDOW, MARGIN = 1_024, 1_024, 64
 #: A line of so many words (or characters of Japanese) counts as a segment of its language.
@@ -44,10 +44,14 @@ NAMES = {
 _CODES = {name: code for code, names in NAMES.items() for name in names.split()}
 #: Russian and Ukrainian letters in Latin ones. Fixed values.
 _LATIN_RU = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh sch  y  e yu ya".split(" ")))
-_LATIN_UK = _LATIN_RU | {"г": "h", "ґ": "g", "е": "e", "є": "ye", "и": "y", "і": "i", "ї": "yi", "й": "y", "х": "kh", "щ": "shch", "ь": "", "ю": "yu", "я": "ya"}
+_LATIN_UK = _LATIN_RU | {"г": "h", "ґ": "g", "е": "e", "є": "ye", "и": "y", "і": "i", "ї": "yi", "й": "y", "х": "kh", "щ": "shch", "ь": "", "ю": "yu", "я": "ya", "'": "", "’": ""}
+_ROMAN = {
+    "ru": (_LATIN_RU, _LATIN_RU | {"й": "i", "щ": "shch", "ё": "e", "х": "h"}, _LATIN_RU | {"й": "j", "ц": "c", "ю": "ju", "я": "ja", "ы": "y"}),
+    "uk": (_LATIN_UK, _LATIN_UK | {"г": "g", "и": "i", "ї": "i", "щ": "sch"}, _LATIN_UK | {"й": "i", "є": "ie", "ї": "i", "ю": "iu", "я": "ia"}),
+}
 
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-_WORDS = regex.compile(r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*")
+_WORDS = regex.compile(r"\S*[\p{L}\p{N}]\S*")
 _FENCE = regex.compile(r"^\s*(```+|~~~+)")
 
 
@@ -76,9 +80,9 @@ def _romanised(text: str, table: dict[str, str]) -> str:
 
 def variants(code: str, text: str) -> list[str]:
     """A sentence and what it may look like elsewhere, the plain sentence with the greatest weight."""
-    out = [text, text, text, text.lower()]
-    if code in ("ru", "uk"):
-        out += [_romanised(text, _LATIN_UK if code == "uk" else _LATIN_RU)] * 2
+    out = [text, text, text, text, text.lower()]
+    if code in _ROMAN:
+        out += [_romanised(text, table) for table in _ROMAN[code]]
     elif code != "ja" and not text.isascii():
         out += [_plain(text)] * 2
     return [*out, text.upper()]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import p1_encoding, p2_site_lines, p3_residue, p4_near_copies, p7_encode, p8_mix, p9_split
+from tessera.llm import p1_encoding, p2_site_lines, p3_residue, p4_near_copies, p5_language, p7_encode, p8_mix, p9_split
 from tessera.sources.tables import table
 
 
@@ -54,6 +54,19 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return p4_near_copies.near_groups(table(spark, folder, "scrapes"), least=0.6)
 
 
+def p5_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_language.wrong_labels(table(spark, folder, "extracted"), table(spark, folder, "lang_samples"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_labels(spark, folder).select("page_id", "lang_code")
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "extracted").select("page_id", "markdown").distinct()
+    return p5_language.label_lines(rows, table(spark, folder, "lang_samples")).withColumnRenamed("row_id", "page_id")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode_texts(table(spark, folder, "documents"))
 
@@ -80,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_kept_scrapes": p3_kept_scrapes,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p5_found": p5_found,
+        "p5_segments": p5_segments,
         "p7_ids": p7_ids,
         "p8_mix": p8_mix_rows,
         "p8_shares": p8_shares,
