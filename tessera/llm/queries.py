@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import p1_encoding, p2_site_lines, p3_residue, p4_near_copies, p5_language, p7_encode, p8_mix, p9_split
+from tessera.llm import p1_encoding, p2_site_lines, p3_residue, p4_near_copies, p5_language, p6_main_content, p7_encode, p8_mix, p9_split
 from tessera.sources.tables import table
 
 
@@ -67,6 +67,18 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     return p5_language.label_lines(rows, table(spark, folder, "lang_samples")).withColumnRenamed("row_id", "page_id")
 
 
+def p6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_main_content.label_content(table(spark, folder, "extracted"), table(spark, folder, "pages"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_lines(spark, folder).where("content < 0.5").select("page_id", "line_no")
+
+
+def p6_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_main_content.main_body(p6_lines(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode_texts(table(spark, folder, "documents"))
 
@@ -95,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_segments": p5_segments,
+        "p6_found": p6_found,
+        "p6_bodies": p6_bodies,
         "p7_ids": p7_ids,
         "p8_mix": p8_mix_rows,
         "p8_shares": p8_shares,
