@@ -500,7 +500,11 @@ def clean_markdown(text: str) -> str:
 
 
 def to_markdown(content: Node) -> str:
-    return clean_markdown("\n\n".join(_blocks(content)))
+    """The content as Markdown; elements nested too deep for that are given as plain text."""
+    try:
+        return clean_markdown("\n\n".join(_blocks(content)))
+    except RecursionError:
+        return _plain(content)
 
 
 def extract(html: str | None, url: str | None) -> dict:
@@ -559,7 +563,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
             for html, url in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     docs.append(None if html is None else extract(html, url))
-                except (RecursionError, ValueError):
+                except ValueError:
                     docs.append(extract(None, None))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(docs, kind)], names=[*names, "doc"])
 

@@ -62,7 +62,7 @@ def idle_sessions(requests: DataFrame, idle_ms: int = IDLE_MS, lateness: str = L
     """``(session_key, first_at, last_at, n_requests)`` of sessions that ended, by session windows under a watermark."""
     at = F.timestamp_millis(F.col("arrival"))
     rows = requests.where("session_key is not null and arrival is not null").select("session_key", "arrival", at.alias("at")).withWatermark("at", lateness)
-    gap = F.session_window("at", f"{idle_ms + 1} milliseconds")  # a request exactly idle_ms later still belongs
+    gap = F.session_window("at", f"{idle_ms} milliseconds")  # windows that touch are one: exactly idle_ms later still belongs
     return rows.groupBy("session_key", gap).agg(F.min("arrival").alias("first_at"), F.max("arrival").alias("last_at"), F.count(F.lit(1)).alias("n_requests")).drop("session_window")
 
 
