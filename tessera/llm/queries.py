@@ -116,5 +116,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SITE = "nullif(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '^www\\.', ''), '')"
+_PATH = "regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')"
+
+_P2 = f"""with rows as (select distinct scrape_id, {_SITE} as site, {_PATH} as path, markdown from scrapes where {_SITE} is not null),
+lines as (select scrape_id, site, path, line_no, regexp_replace(lower(line), '[^\\p{{L}}]+', '', 'g') as letters from (select scrape_id, site, path, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select *, string_split(markdown, chr(10)) as l from rows where markdown is not null))),
+counted as (select site, letters, count(distinct path) as pages from lines where letters <> '' group by 1, 2), sites as (select site, count(distinct path) as site_pages from rows group by 1)
+select distinct l.scrape_id, l.line_no::int as line_no from lines l join counted c on l.site = c.site and l.letters = c.letters join sites s on l.site = s.site where c.pages >= 8 and c.pages * 4 >= s.site_pages"""
+
+_P4 = """with words as (select scrape_id, regexp_extract_all(lower(markdown), '[\\p{L}\\p{N}]+') as w from (select distinct scrape_id, markdown from scrapes where markdown is not null)),
+sets as (select distinct scrape_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from words where len(w) >= 60),
+sizes as (select scrape_id, count(*) as n from sets group by 1),
+pairs as (select a.scrape_id as x, b.scrape_id as y, count(*) as common from sets a join sets b on a.s = b.s and a.scrape_id < b.scrape_id group by 1, 2)
+select x as scrape_a, y as scrape_b from pairs join sizes p on x = p.scrape_id join sizes q on y = q.scrape_id where common >= 0.6 * (p.n + q.n - common)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Two operators can be said in SQL; the others are tested against brute force, round trips or held-out rows."""
+    return {"p2_found": _P2, "p4_found": _P4}
