@@ -283,7 +283,7 @@ _SCHEMA = "record_table string, record_id bigint, host_id bigint, bad boolean, e
 
 def _read(df: DataFrame, name: str, id_col: str, url_col: str, text_col: str, title_col: str | None, html: bool) -> DataFrame:
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
-    source = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.xxhash64(site_of(F.col(url_col))).alias("host_id"), F.col(text_col).alias("t"), title.alias("title"))
+    source = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.when(site_of(F.col(url_col)).isNotNull(), F.xxhash64(site_of(F.col(url_col)))).alias("host_id"), F.col(text_col).alias("t"), title.alias("title"))
     source = source.where("t is not null and trim(t) != ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
