@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.evaluate import let
+
 #: Query parameters that only track: prefixes and whole names of normalisation, and the shorter list of link cleaning.
 #: The two lists differ on purpose. Fixed values.
 NORMALISE_PREFIXES = ("utm_", "ga_", "mc_", "_hs")
@@ -19,52 +22,55 @@ DEFAULT_PORTS = {"http": "80", "https": "443"}
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _WEB = r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*([^/\\?#]*)"
+_WEB_SCHEMES = ("http", "https")
 
 
 def _trimmed(url: Column) -> Column:
     """White space at the ends and tabs and line feeds within are no part of a URL."""
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
 
 
-def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(_trimmed(url), _SCHEME, 1))
+def with_parts(url: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the parts of a URL, which are read once: all, scheme, user, host, port, path (as written), query, fragment, ok.
 
+    ``ok`` tells whether an absolute URL can be read at all: a scheme, and for web schemes a host of allowed characters
+    and a port. Hosts may contain underscores; control characters, white space and ``<>^|%`` may not be in them.
+    """
 
-def _authority(url: Column) -> Column:
-    return F.regexp_extract(_trimmed(url), _WEB, 1)
+    def cut(u: Column, authority: Column) -> Column:
+        user = F.regexp_extract(authority, r"^(.*@)", 1)
+        place = F.substring(authority, F.length(user) + 1, F.length(authority))
+        port = F.regexp_extract(place, r":([0-9]*)$", 1)
+        return F.struct(
+            u.alias("all"), F.lower(F.regexp_extract(u, _SCHEME, 1)).alias("scheme"), user.alias("user"), F.lower(F.regexp_replace(place, r":[0-9]*$", "")).alias("host"), port.alias("port"),
+            F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*[^/\\?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(u, r"^[^?#]*(\?[^#]*)", 1).alias("query"), F.regexp_extract(u, r"(#.*)$", 1).alias("fragment"))
 
+    def judged(p: Column) -> Column:
+        host = p["host"].rlike(r"^(\[[0-9a-f:.]+\]|[^\x00-\x20<>^|%\[\]:/?#@\\]+)$")
+        port = (p["port"] == "") | ((F.length(F.regexp_replace(p["port"], "^0+", "")) <= 5) & (F.coalesce(p["port"].try_cast("bigint"), F.lit(99_999)) <= 65_535))
+        ok = F.coalesce(F.when(p["scheme"].isin(*_WEB_SCHEMES), host & port).otherwise(p["scheme"] != ""), F.lit(False))
+        return F.struct(*(p[n].alias(n) for n in ("all", "scheme", "user", "host", "port", "path", "query", "fragment")), ok.alias("ok"))
 
-def _is_web(url: Column) -> Column:
-    return url_scheme(url).isin("http", "https")
+    return let(_trimmed(url), lambda u: let(F.regexp_extract(u, _WEB, 1), lambda a: let(cut(u, a), lambda p: let(judged(p), body))))
 
 
-def url_port(url: Column) -> Column:
-    """The port as written, empty if none."""
-    return F.regexp_extract(F.regexp_replace(_authority(url), r"^.*@", ""), r":([0-9]*)$", 1)
+def url_scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(_trimmed(url), _SCHEME, 1))
 
 
 def is_url(url: Column) -> Column:
-    """Whether an absolute URL can be read at all: a scheme, and for web schemes a host of allowed characters and a port.
-
-    Null is no URL. Hosts may contain underscores, spaces are escaped later, control characters and ``<>^|%`` may not.
-    """
-    host = F.regexp_replace(F.regexp_replace(_authority(url), r"^.*@", ""), r":[0-9]*$", "")
-    good_host = host.rlike(r"^(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20<>^|%\[\]:/?#@\\]+)$")
-    port = url_port(url)
-    good_port = (port == "") | ((F.length(F.regexp_replace(port, "^0+", "")) <= 5) & (F.coalesce(port.try_cast("bigint"), F.lit(99_999)) <= 65_535))
-    scheme = url_scheme(url)
-    return F.coalesce(F.when(_is_web(url), good_host & good_port).otherwise(scheme != ""), F.lit(False))
+    """Whether an absolute URL can be read at all; null is none."""
+    return F.coalesce(with_parts(url, lambda p: p["ok"]), F.lit(False))
 
 
 def url_host(url: Column) -> Column:
     """The host in lower case, without user and port; null where there is none."""
-    host = F.regexp_replace(F.regexp_replace(_authority(url), r"^.*@", ""), r":[0-9]*$", "")
-    return F.nullif(F.lower(host), F.lit(""))
+    return with_parts(url, lambda p: F.nullif(p["host"], F.lit("")))
 
 
 def display_host(url: Column) -> Column:
     """The host, or the text itself if it is no URL."""
-    return F.when(is_url(url), F.coalesce(url_host(url), F.lit(""))).otherwise(url)
+    return with_parts(url, lambda p: F.when(p["ok"], p["host"]).otherwise(url))
 
 
 def _name(pair: Column) -> Column:
@@ -109,14 +115,28 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), resolved).otherwise(path)
 
 
-def _path(url: Column) -> Column:
-    raw = F.regexp_extract(_trimmed(url), r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*[^/\\?#]*([^?#]*)", 1)
-    raw = F.regexp_replace(raw, r"\\", "/")
-    return _without_dots(_escape_path(F.when(raw == "", "/").otherwise(raw)))
+def _path(p: Column) -> Column:
+    """The path of read parts: slashes only, escaped, dot segments resolved, never empty."""
+    raw = F.regexp_replace(p["path"], r"\\", "/")
+    return let(F.when(raw == "", "/").otherwise(raw), lambda x: let(_escape_path(x), _without_dots))
+
+
+def _shown_port(p: Column) -> Column:
+    """The port with its colon, empty for the scheme's own."""
+    bare = F.regexp_replace(p["port"], "^0+(?=.)", "")
+    plain = p["port"] == ""
+    for name, number in DEFAULT_PORTS.items():
+        plain = plain | ((p["scheme"] == name) & (bare == number))
+    return F.when(plain, "").otherwise(F.concat(F.lit(":"), bare))
 
 
-def _query(url: Column) -> Column:
-    return F.regexp_extract(_trimmed(url), r"^[^?#]*\?([^#]*)", 1)
+def _search(query: Column) -> Column:
+    """The query of normalisation: what tracks is gone, names are sorted, all in form encoding."""
+    raw = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda x: x != "")
+    named = F.transform(raw, lambda x, i: F.struct(_name(x).alias("n"), i.alias("i"), _value(x).alias("v")))
+    kept = F.array_sort(F.filter(named, lambda x: ~_is_normalised_away(x["n"])))
+    joined = F.array_join(F.transform(kept, lambda x: F.concat(F.url_encode(x["n"]), F.lit("="), F.url_encode(x["v"]))), "&")
+    return F.when(query.isin("", "?"), "").otherwise(let(joined, lambda j: F.when(j == "", "").otherwise(F.concat(F.lit("?"), j))))
 
 
 def normalize_url(url: Column) -> Column:
@@ -125,26 +145,20 @@ def normalize_url(url: Column) -> Column:
     No fragment, host in lower case, no default port, no tracking parameters, the others in form encoding and sorted by
     name alone (equal names keep their order), one slash at the end of the path taken away.
     """
-    pairs = F.filter(F.split(_query(url), "&"), lambda p: (p != "") & ~_is_normalised_away(_name(p)))
-    numbered = F.transform(pairs, lambda p, i: F.struct(_name(p).alias("n"), i.alias("i"), _value(p).alias("v")))
-    joined = F.array_join(F.transform(F.array_sort(numbered), lambda x: F.concat(F.url_encode(x["n"]), F.lit("="), F.url_encode(x["v"]))), "&")
-    search = F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined))
-    path = _path(url)
-    path = F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, 1, F.length(path) - 1)).otherwise(path)
-    scheme, port = url_scheme(url), url_port(url)
-    plain = port == ""
-    for name, number in DEFAULT_PORTS.items():
-        plain = plain | ((scheme == name) & (F.regexp_replace(port, "^0+", "") == number))
-    user = F.regexp_extract(_authority(url), r"^(.*@)", 1)
-    user = F.when(user.isin("@", ":@"), "").otherwise(user)
-    web = F.concat(scheme, F.lit("://"), user, url_host(url), F.when(plain, "").otherwise(F.concat(F.lit(":"), F.regexp_replace(port, "^0+(?=.)", ""))), path, search)
-    other = F.regexp_replace(F.concat(scheme, F.regexp_extract(_trimmed(url), r"^[A-Za-z][A-Za-z0-9+.\-]*(:.*)$", 1)), r"#.*$", "")
-    return F.when(is_url(url), F.when(_is_web(url), web).otherwise(other))
+
+    def body(p: Column) -> Column:
+        path = let(_path(p), lambda x: F.when((F.length(x) > 1) & x.endswith("/"), F.substring(x, 1, F.length(x) - 1)).otherwise(x))
+        user = F.when(p["user"].isin("@", ":@"), "").otherwise(p["user"])
+        web = F.concat(p["scheme"], F.lit("://"), user, p["host"], _shown_port(p), path, _search(p["query"]))
+        other = F.regexp_replace(F.concat(p["scheme"], F.regexp_extract(p["all"], r"^[A-Za-z][A-Za-z0-9+.\-]*(:.*)$", 1)), r"#.*$", "")
+        return F.when(p["ok"], F.when(p["scheme"].isin(*_WEB_SCHEMES), web).otherwise(other))
+
+    return with_parts(url, body)
 
 
 def dedupe_key(url: Column) -> Column:
     """What makes two results the same: the normalised URL, or the text itself if it is no URL."""
-    return F.coalesce(normalize_url(url), url)
+    return F.coalesce(normalize_url(url), url)  # null only where the text is null
 
 
 def scrape_key(url: Column, include_links: Column | bool = False) -> Column:
@@ -165,32 +179,43 @@ def strip_tracking(href: Column) -> Column:
     return F.when(F.exists(pairs, lambda p: is_tracking(_name(p))), cleaned).otherwise(href)
 
 
+_NO_TAIL = r"[^\x21\x23-\x3b\x3d\x3f-\x7e]"
+
+
+def _escape_tail(x: Column) -> Column:
+    """A query or fragment with what it may not hold as percent escapes."""
+    each = F.transform(F.split(x, ""), lambda c: F.when(c.rlike(_NO_TAIL), F.regexp_replace(F.url_encode(c), r"\+", "%20")).otherwise(c))
+    return F.when(x.rlike(_NO_TAIL), F.array_join(each, "")).otherwise(x)
+
+
+def _absolute(url: Column) -> Column:
+    """An absolute URL as a browser writes it: scheme and host in lower case, no default port, escaped."""
+
+    def body(p: Column) -> Column:
+        web = F.concat(p["scheme"], F.lit("://"), p["user"], p["host"], _shown_port(p), _path(p), _escape_tail(p["query"]), _escape_tail(p["fragment"]))
+        other = F.concat(p["scheme"], F.regexp_extract(p["all"], r"^[A-Za-z][A-Za-z0-9+.\-]*(:.*)$", 1))
+        return F.when(p["ok"], F.when(p["scheme"].isin(*_WEB_SCHEMES), web).otherwise(other))
+
+    return with_parts(url, body)
+
+
 def resolve_url(href: Column, base: Column) -> Column:
     """``href`` as an absolute URL, seen from the page ``base``; null if there is none."""
-    clean = _trimmed(href)
-    scheme, host, port = url_scheme(base), _authority(base), url_port(base)
-    origin = F.concat(scheme, F.lit("://"), F.lower(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")), F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port)))
-    folder = F.regexp_replace(_path(base), r"[^/]*$", "")
-    target = F.regexp_replace(F.regexp_extract(clean, r"^([^?#]*)", 1), r"\\", "/")
-    search, fragment = F.regexp_extract(clean, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(clean, r"(#.*)$", 1)
-    escape = lambda x: F.when(x.rlike(r"[^\x21\x23-\x3b\x3d\x3f-\x7e]"), F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c.rlike(r"[^\x21\x23-\x3b\x3d\x3f-\x7e]"), F.regexp_replace(F.url_encode(c), r"\+", "%20")).otherwise(c)), "")).otherwise(x)
-    tail = F.concat(escape(search), escape(fragment))
-    absolute = _absolute(clean)
-    from_root = F.concat(origin, _without_dots(_escape_path(target)), tail)
-    from_folder = F.concat(origin, _without_dots(_escape_path(F.concat(folder, target))), tail)
-    same_page = F.concat(origin, _path(base), F.when(search != "", tail).otherwise(F.concat(F.regexp_extract(_trimmed(base), r"^[^?#]*(\?[^#]*)", 1), tail)))
-    network = _absolute(F.concat(scheme, F.lit(":"), clean))
-    relative = F.when(clean.rlike(r"^[/\\]{2}"), network).when(clean.rlike(r"^[/\\]"), from_root).when(target == "", same_page).otherwise(from_folder)
-    return F.when(clean.rlike(_SCHEME), absolute).when(_is_web(base) & is_url(base), relative)
 
+    def relative(h: Column, b: Column) -> Column:
+        origin = F.concat(b["scheme"], F.lit("://"), b["host"], _shown_port(b))
+        target = F.regexp_replace(F.regexp_extract(h, r"^([^?#]*)", 1), r"\\", "/")
+        search, fragment = F.regexp_extract(h, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(h, r"(#.*)$", 1)
+        tail = F.concat(_escape_tail(search), _escape_tail(fragment))
+        settled = lambda path: let(_escape_path(path), _without_dots)
+        from_root = F.concat(origin, settled(target), tail)
+        from_folder = F.concat(origin, settled(F.concat(F.regexp_replace(_path(b), r"[^/]*$", ""), target)), tail)
+        same = F.concat(origin, _path(b), F.when(search == "", b["query"]).otherwise(""), tail)
+        network = _absolute(F.concat(b["scheme"], F.lit(":"), h))
+        found = F.when(h.rlike(r"^[/\\]{2}"), network).when(h.rlike(r"^[/\\]"), from_root).when(target == "", same).otherwise(from_folder)
+        return F.when(b["ok"] & b["scheme"].isin(*_WEB_SCHEMES), found)
 
-def _absolute(url: Column) -> Column:
-    """An absolute URL as a browser writes it: scheme and host in lower case, no default port, path escaped."""
-    scheme, port = url_scheme(url), url_port(url)
-    default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    web = F.concat(scheme, F.lit("://"), F.regexp_extract(_authority(url), r"^(.*@)", 1), url_host(url), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), _path(url), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(url, r"(#.*)$", 1))
-    other = F.concat(scheme, F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*(:.*)$", 1))
-    return F.when(is_url(url), F.when(_is_web(url), web).otherwise(other))
+    return let(_trimmed(href), lambda h: F.when(h.rlike(_SCHEME), _absolute(h)).otherwise(with_parts(base, lambda b: relative(h, b))))
 
 
 def is_ipv4(text: Column) -> Column:
@@ -247,8 +272,13 @@ def url_error(url: Column) -> Column:
 
     Allowed are web URLs whose host is neither local by name nor a private address. Null is invalid.
     """
-    host = bare_host(url_host(url))
-    local = (host == "localhost") | reduce(lambda a, b: a | b, [host.endswith(s) for s in LOCAL_SUFFIXES])
-    private = (is_ipv4(host) | is_ipv6(host)) & is_private_address(host)
-    bad = ~is_url(url) | ~_is_web(url) | F.coalesce(local, F.lit(False)) | F.coalesce(private, F.lit(False))
-    return F.when(F.coalesce(bad, F.lit(True)), F.lit("invalid_url"))
+
+    def body(p: Column) -> Column:
+        def host_is_bad(host: Column) -> Column:
+            local = (host == "localhost") | reduce(lambda a, b: a | b, [host.endswith(s) for s in LOCAL_SUFFIXES])
+            address = host.rlike(r"^[0-9.]+$|:")  # only then may it be an address at all
+            return local | F.when(address, (is_ipv4(host) | is_ipv6(host)) & is_private_address(host)).otherwise(False)
+
+        return ~p["ok"] | ~p["scheme"].isin(*_WEB_SCHEMES) | let(bare_host(p["host"]), host_is_bad)
+
+    return F.when(F.coalesce(with_parts(url, body), F.lit(True)), F.lit("invalid_url"))
