@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, text, urls
 from tessera.functions.html import extract_pages
-from tessera.operators import actions, cache, errors, fetch, outline, pacing, search
+from tessera.operators import actions, cache, errors, fetch, outline, pacing, search, validation
 from tessera.plans import pipelines, sql
 from tessera.plans.api import Engine
 from tessera.sources.tables import table
@@ -477,6 +477,18 @@ def error_statuses(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(spark, "code string", *((c,) for c in errors.STATUS), ("unheard_of",)).select("code", errors.http_status(F.col("code")).alias("http_status"))
 
 
+_BODIES = (
+    (1, "/scrape", '{"url": "x"}', None), (2, "/scrape", "{}", "invalid_url"), (3, "/scrape", '{"url": "x", "refresh": "yes"}', "invalid_request"), (4, "/search", '{"query": "q", "limit": 0}', "invalid_query"),
+    (5, "/search", '{"query": "q", "limit": 3}', None), (6, "/browser/press", '{"sessionId": "s", "elementId": "0-1", "key": ""}', "invalid_request"), (7, "/browser/close", "[]", "invalid_request"), (8, "/nowhere", "{}", "not_found"),
+)
+
+
+@_query(f"select id, error from {_values(*_BODIES)} t(id, route, body, error)")
+def request_errors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _rows(spark, "id int, route string, body string", *(b[:3] for b in _BODIES))
+    return rows.select("id", validation.request_error(F.col("route"), F.col("body")).alias("error"))
+
+
 # ---- pacing
 
 _ASKED = "(select distinct request_id, host, arrival from requests where host is not null and arrival is not null)"

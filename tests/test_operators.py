@@ -154,3 +154,31 @@ def test_options(tmp_path):
     assert got == Options(idle_ms=5, most_sessions=3, page_chars=7)
     with pytest.raises(ValueError):
         load_options(None, {"TESSERA_IDLE_MS": "soon"})
+
+
+def test_requests_are_validated(spark):
+    from tessera.operators import validation
+
+    cases = [
+        ("/scrape", '{"url": "x"}', None, None), ("/scrape", "{}", "url", "invalid_url"), ("/scrape", '{"url": ""}', "url", "invalid_url"), ("/scrape", '{"url": "x", "refresh": "yes"}', "refresh", "invalid_request"), ("/scrape", "[]", "body", "invalid_request"),
+        ("/search", '{"query": "q", "limit": 3}', None, None), ("/search", '{"query": "q", "limit": 0}', "limit", "invalid_query"), ("/search", '{"query": "q", "limit": 1.5}', "limit", "invalid_query"), ("/search", "broken", "body", "invalid_query"),
+        ("/browser/fill", '{"sessionId": "s", "elementId": "0-1", "text": "", "variables": {"a": "b"}}', None, None), ("/browser/fill", '{"sessionId": "s", "elementId": "0-1", "text": "", "variables": {"a": 1}}', "variables", "invalid_request"),
+        ("/browser/press", '{"sessionId": "s", "elementId": "0-1", "key": ""}', "key", "invalid_request"), ("/nowhere", "{}", None, "not_found"), ("/browser/close", None, "body", "invalid_request"),
+    ]
+    df = spark.createDataFrame([(k, r, b) for k, (r, b, _, _) in enumerate(cases)], "k int, route string, body string")
+    got = {r.k: (r.f, r.e) for r in df.select("k", validation.bad_field(F.col("route"), F.col("body")).alias("f"), validation.request_error(F.col("route"), F.col("body")).alias("e")).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[2:] for c in cases]
+
+
+def test_scrape_pipeline(spark):
+    from tessera.functions.urls import scrape_key
+    from tessera.plans import pipelines
+
+    words = "<title>T</title><p>" + "word " * 100 + "</p>"
+    at = "timestamp'2025-01-01 00:00:00'"
+    pages = spark.createDataFrame([(1, "https://a.example/x/?utm_x=1", None, words, 200, "text/html"), (2, "https://a.example/gone", None, words, 404, "text/html"), (3, "https://a.example/never", None, words, 200, "text/html")], "page_id bigint, url string, final_url string, html string, status int, content_type string").withColumn("landed_at", F.expr(at))
+    key = spark.range(1).select(scrape_key(F.lit("https://h.example/")).alias("k")).first().k
+    rows = spark.createDataFrame([(key, GOOD, 0, 1_000)], "cache_key string, cache_value string, created_at bigint, expires_at bigint")
+    asked = spark.createDataFrame([(1, "https://h.example/#x", 500), (2, "https://h.example/", 2_000), (3, "https://A.example/x", 5), (4, "https://a.example/gone", 5), (5, "http://localhost/", 5), (6, None, 5), (7, "https://a.example/x/", 6)], "request_id bigint, url string, arrival bigint")
+    got = {r.request_id: (r.title, r.cached, r.error) for r in pipelines.scrape(asked, rows, pages).collect()}
+    assert got == {1: ("t", True, None), 2: (None, False, "network"), 3: ("T", False, None), 4: (None, False, "upstream_error"), 5: (None, False, "invalid_url"), 6: (None, False, "invalid_url"), 7: ("T", False, None)}
