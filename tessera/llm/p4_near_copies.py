@@ -312,16 +312,19 @@ def near_links(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "mar
 
 
 def near_pairs(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown", least: float = 0.8) -> DataFrame:
-    """``(scrape_a, scrape_b, similarity)``, scrape_a < scrape_b, of all rows: copies of one text are pairs, too."""
+    """``(scrape_a, scrape_b, similarity)``, scrape_a < scrape_b, of all rows.
+
+    Between different texts: every member of either class with the other's representative. Between copies of one text:
+    each copy with its representative. So the result grows with copies times links and never with pairs of copies,
+    however many rows share a text; what is left out follows from the classes (:func:`near_groups`).
+    """
     links, classes = near_links(df, id_col=id_col, text_col=text_col, least=least)
-    members = classes.select("rep", "scrape_id")
-    left = links.join(members.select(F.col("rep").alias("a"), F.col("scrape_id").alias("x")), "a")
-    both = left.join(members.select(F.col("rep").alias("b"), F.col("scrape_id").alias("y")), "b").select("x", "y", "similarity")
-    shared = members.groupBy("rep").count().where("count > 1").select("rep")
-    copies = members.join(shared, "rep")
-    equal = copies.alias("l").join(copies.alias("r"), (F.col("l.rep") == F.col("r.rep")) & (F.col("l.scrape_id") < F.col("r.scrape_id")))
-    equal = equal.select(F.col("l.scrape_id").alias("x"), F.col("r.scrape_id").alias("y"), F.lit(1.0).alias("similarity"))
-    return both.unionByName(equal).select(F.least("x", "y").alias("scrape_a"), F.greatest("x", "y").alias("scrape_b"), "similarity")
+    members = classes.select("rep", F.col("scrape_id").alias("x"))
+    ways = links.select("a", "b", "similarity").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    across = ways.join(members, F.col("a") == F.col("rep")).select("x", F.col("b").alias("y"), "similarity")
+    copies = members.where("x != rep").select("x", F.col("rep").alias("y"), F.lit(1.0).alias("similarity"))
+    pairs = across.unionByName(copies).select(F.least("x", "y").alias("scrape_a"), F.greatest("x", "y").alias("scrape_b"), "similarity")
+    return pairs.distinct()
 
 
 def near_groups(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown", least: float = 0.8) -> DataFrame:
