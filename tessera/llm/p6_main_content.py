@@ -28,6 +28,8 @@ TRAINING_PAGES = 1_500
 BUCKETS, EPOCHS, RATE, DECAY, SEED = 1 << 15, 4, 0.25, 1e-5, 3
 #: How far labels of neighbours agree in the tree of the Markdown: a paragraph with its lines, the text with its paragraphs.
 LINE_TIE, PARAGRAPH_TIE = 0.93, 0.6
+#: How many times the log-odds of a line's block count in the tree of the Markdown: the page has weighed them already.
+PAGE_WEIGHT = 2.5
 #: The part of a line's letters that must be found in the page for the page's marginals to count.
 LEAST_FOUND = 0.5
 LONGEST_LOGIT = 6.0
@@ -385,7 +387,7 @@ def line_marginals(markdown: str, html: str | None, model: Model, hashes: Hashes
         kind = ("h1" if len(mark.group(1)) == 1 else "h") if mark.group(1) else "li" if mark.group(2) else "td" if body.startswith("|") else "p"
         key = letters(plain)
         if key and key in found:
-            odds[node] = _logit(found[key])
+            odds[node] = PAGE_WEIGHT * _logit(found[key])
             continue
         total, known, score = len(key), 0, 0.0
         if found and key:
@@ -396,7 +398,7 @@ def line_marginals(markdown: str, html: str | None, model: Model, hashes: Hashes
                     known += len(piece)
                     score += len(piece) * _logit(found[piece])
         if known and known >= LEAST_FOUND * total:
-            odds[node] = score / known
+            odds[node] = PAGE_WEIGHT * score / known
             continue
         starts.append(len(index))
         pending.append(node)
