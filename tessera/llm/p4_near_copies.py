@@ -35,6 +35,8 @@ MODULUS = (1 << 31) - 1
 SKETCH_BINS, SKETCH_SIGMAS = 128, 4.0
 #: Members of one block of an anchor; anchors with more are cut into blocks and compared block by block.
 BLOCK = 512
+#: Texts whose words a worker holds at once.
+ROWS_AT_ONCE = 2_000
 #: Words remembered by a worker; emptied when full.
 REMEMBERED = 300_000
 _SEED = 20_240_607
@@ -145,8 +147,15 @@ def anchors(words: np.ndarray, dimension: int = DIMENSION) -> np.ndarray:
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``ROWS_AT_ONCE`` rows, which bounds the words held at once."""
     for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         which, hashes, offsets = shingles(batch.column(1).to_pylist())
         names = ["scrape_id", "class_a", "class_b", "symbols", "sketch"]
@@ -162,7 +171,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each fingerprint and anchor; anchors that a fingerprint meets several times once."""
-    for batch in batches:
+    for batch in _slices(batches):
         if not batch.num_rows:
             continue
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -270,7 +279,7 @@ def meeting_pairs(classes: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         ids = batch.column(0).to_pylist()
         which, hashes, offsets = shingles(batch.column(1).to_pylist())
         raw = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]

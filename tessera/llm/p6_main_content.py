@@ -315,8 +315,8 @@ def sum_product(parents: list[int], odds: list[float], ties: list) -> list[float
     return [p[1] for p in own]
 
 
-def block_marginals(html: str, model: Model, hashes: Hashes) -> list[tuple[str, float]]:
-    """(text, probability of being content) of each block with text of its own."""
+def block_marginals(html: str, model: Model, hashes: Hashes) -> list[tuple[str, float, bool]]:
+    """(text, probability of being content, whether it is a heading) of each block with text of its own."""
     blocks = parse(html)
     places = _places(blocks)
     index: list[int] = []
@@ -338,16 +338,18 @@ def block_marginals(html: str, model: Model, hashes: Hashes) -> list[tuple[str,
     default = model.ties["", ""]
     ties = [model.ties.get(_tie_key(blocks, k), default) if k else default for k in range(len(blocks))]
     chances = sum_product([b.parent for b in blocks], odds, ties)
-    return [(text, chances[k]) for k, text in zip(owners, texts)]
+    return [(text, chances[k], kind_of(blocks[k].tag)[0] == "h") for k, text in zip(owners, texts)]
 
 
 def line_marginals(markdown: str, html: str | None, model: Model, hashes: Hashes) -> list[tuple[int, float]]:
     """(line number, probability of being content) of each line that is not blank."""
     found: dict[str, float] = {}
     if html:
-        for text, chance in block_marginals(html, model, hashes):
+        for text, chance, heading in block_marginals(html, model, hashes):
             key = letters(text)
-            if key:
+            if key and heading:  # a title may also be an entry of a sidebar
+                found["#" + key] = max(chance, found.get("#" + key, 0.0))
+            elif key:
                 found[key] = min(chance, found.get(key, 1.0)) if len(key) < 40 else chance
     numbers, parents, odds, ties = [], [-1], [0.0], [None]
     paragraph, fence = -1, None
@@ -386,8 +388,9 @@ def line_marginals(markdown: str, html: str | None, model: Model, hashes: Hashes
         linked = sum(len(t) for t, _ in links) / max(1, len(plain))
         kind = ("h1" if len(mark.group(1)) == 1 else "h") if mark.group(1) else "li" if mark.group(2) else "td" if body.startswith("|") else "p"
         key = letters(plain)
-        if key and key in found:
-            odds[node] = PAGE_WEIGHT * _logit(found[key])
+        told = found.get("#" + key if kind[0] == "h" else key, found.get(key if kind[0] == "h" else "#" + key)) if key else None
+        if told is not None:
+            odds[node] = PAGE_WEIGHT * _logit(told)
             continue
         total, known, score = len(key), 0, 0.0
         if found and key:

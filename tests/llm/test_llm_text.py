@@ -245,7 +245,7 @@ def test_held_out_pages(spark):
         for tag in ("article", "main", "nav", "header", "footer", "aside", "form"):
             bare = bare.replace(f"<{tag}", "<div").replace(f"</{tag}", "</div")
         bare = p6_main_content.re.sub(r'<div (class|id)="[^"]*"', "<div", bare)
-        for text, chance in p6_main_content.block_marginals(bare, model, hashes):
+        for text, chance, _ in p6_main_content.block_marginals(bare, model, hashes):
             if text in wanted:
                 total += 1
                 good += (chance >= 0.5) == bool(wanted[text])
