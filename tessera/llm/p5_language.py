@@ -27,7 +27,7 @@ LINES_AT_ONCE, WINDOW, MARGIN = 1_024, 1_024, 64
 #: A line of so many words (or characters of Japanese) counts as a segment of its language.
 LEAST_WORDS, LEAST_WIDE = 20, 40
 #: A second language of a text needs this confidence.
-LEAST_CONFIDENCE = 0.6
+LEAST_CONFIDENCE = 0.7
 
 #: Names and codes by language, in lower case. Fixed values.
 NAMES = {
