@@ -142,8 +142,9 @@ def repeated_lines(df: DataFrame, *, id_col: str = "scrape_id", url_col: str = "
 
 def without_lines(df: DataFrame, found: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown") -> DataFrame:
     """``df`` with the found lines taken out of each text, and ``removed_lines`` (how many); other rows stay as they are."""
-    drop = found.groupBy(F.col("scrape_id").alias("_id")).agg(F.collect_set("line_no").alias("_drop"))
-    kept = F.filter(F.split(text_col, "\n"), lambda line, pos: ~F.array_contains(F.col("_drop"), pos + 1))
-    joined = df.join(drop, F.col(id_col).cast("bigint") == F.col("_id"), "left")
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).withColumn("removed_lines", F.coalesce(F.size("_drop"), F.lit(0))).drop("_id", "_drop")
+    drop = found.groupBy(F.col("scrape_id").alias("__scrape_id")).agg(F.collect_set("line_no").alias("__drop"))
+    kept = F.filter(F.split(text_col, "\n"), lambda line, pos: ~F.array_contains(F.col("__drop"), pos + 1))
+    joined = df.join(drop, F.col(id_col).cast("bigint") == F.col("__scrape_id"), "left")
+    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop"))
+    return joined.withColumn(text_col, text).withColumn("removed_lines", removed).drop("__scrape_id", "__drop")

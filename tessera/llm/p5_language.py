@@ -26,6 +26,8 @@ TRAINING_STEPS, BATCH, CROP, RATE, SEED = 600, 64, 176, 8e-3, 11
 LINES_AT_ONCE, WINDOW, MARGIN = 1_024, 1_024, 64
 #: A line of so many words (or characters of Japanese) counts as a segment of its language.
 LEAST_WORDS, LEAST_WIDE = 20, 40
+#: A line that does not count is sure of its language from this confidence and so many bytes on.
+SURE, SURE_BYTES = 0.9, 60
 #: A second language of a text needs this confidence.
 LEAST_CONFIDENCE = 0.7
 
@@ -52,6 +54,7 @@ _ROMAN = {
 
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _WORDS = regex.compile(r"\S*[\p{L}\p{N}]\S*")
+_LETTER = regex.compile(r"\p{L}")
 _FENCE = regex.compile(r"^\s*(```+|~~~+)")
 
 
@@ -262,7 +265,7 @@ def segments_of(text: str) -> list[tuple[int, str, bool]]:
         if mark:
             fence = None if fence and line.strip().startswith(fence) else fence or mark.group(1)[:3]
             continue
-        if fence or not line.strip():
+        if fence or not _LETTER.search(line):
             continue
         long = len(line) >= LEAST_WIDE and (line.count(" ") + 1 >= LEAST_WORDS and len(_WORDS.findall(line)) >= LEAST_WORDS or (not line.isascii() and len(_WIDE.findall(line)) >= LEAST_WIDE // 2 and len(line.strip()) >= LEAST_WIDE))
         out.append((no, line, long))
@@ -308,6 +311,34 @@ def label_lines(df: DataFrame, samples: DataFrame, *, id_col: str = "page_id", t
     return source.mapInArrow(run, schema)
 
 
+def language_segments(lines: DataFrame) -> DataFrame:
+    """``(row_id, segment_no, first_line, last_line, lang_code, confidence, n_bytes)``: runs of lines in one language.
+
+    ``lines`` comes from :func:`label_lines`. A short line that is not sure of its language (see ``SURE``) goes with
+    the sure line before it, or the next one if there is none before. ``confidence`` is the mean over the bytes of the
+    lines that are of the segment's language by themselves.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("row_id").orderBy("line_no")  # as many rows as a text has lines
+    past, future = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    sure = F.when(F.col("counts") | ((F.col("confidence") >= SURE) & (F.col("n_bytes") >= SURE_BYTES)), F.col("lang_code"))
+    rows = lines.withColumn("own", F.col("lang_code")).withColumn("sure", sure)
+    rows = rows.withColumn("lang_code", F.coalesce(F.last("sure", True).over(past), F.first("sure", True).over(future), F.col("own")))
+    fresh = F.coalesce((F.lag("lang_code").over(order) != F.col("lang_code")).cast("int"), F.lit(1))
+    rows = rows.withColumn("fresh", fresh).withColumn("segment_no", F.sum("fresh").over(past).cast("int"))
+    weight = F.when(F.col("own") == F.col("lang_code"), F.col("n_bytes"))
+    mean = F.sum(F.col("confidence") * weight) / F.sum(weight)
+    return rows.groupBy("row_id", "segment_no", "lang_code").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), mean.alias("confidence"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def document_labels(segments: DataFrame) -> DataFrame:
+    """``(row_id, lang_code, confidence, share)``: the language of most of each text, by bytes, and its part of them."""
+    by = segments.groupBy("row_id", "lang_code").agg(F.sum("n_bytes").alias("n"), (F.sum(F.col("confidence") * F.col("n_bytes")) / F.sum("n_bytes")).alias("confidence"))
+    best = by.groupBy("row_id").agg(F.max(F.struct("n", "lang_code", "confidence")).alias("b"), F.sum("n").alias("total"))
+    return best.select("row_id", F.col("b.lang_code").alias("lang_code"), F.col("b.confidence").alias("confidence"), (F.col("b.n") / F.col("total")).alias("share"))
+
+
 def document_languages(df: DataFrame, samples: DataFrame, *, id_col: str = "page_id", text_col: str = "markdown", label_col: str = "label") -> DataFrame:
     """``(row_id, label, lang_code, confidence, share, main_code)``: each language that counts in each text.
 

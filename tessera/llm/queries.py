@@ -45,6 +45,11 @@ def p3_kept_scrapes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "scrapes").join(found, "scrape_id", "left_anti").select("scrape_id", "url", "title", "markdown").distinct()
 
 
+def p3_kept_pages(spark: SparkSession, folder: str) -> DataFrame:
+    found = p3_found(spark, folder).where("record_table = 'pages'").select(F.col("record_id").alias("page_id"))
+    return table(spark, folder, "pages").join(found, "page_id", "left_anti").select("page_id", "url", "html", "status").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = p4_near_copies.near_pairs(table(spark, folder, "scrapes"), least=0.6)
     return pairs.select("scrape_a", "scrape_b")
@@ -64,7 +69,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "extracted").select("page_id", "markdown").distinct()
-    return p5_language.label_lines(rows, table(spark, folder, "lang_samples")).withColumnRenamed("row_id", "page_id")
+    lines = p5_language.label_lines(rows, table(spark, folder, "lang_samples"))
+    return p5_language.language_segments(lines).withColumnRenamed("row_id", "page_id")
+
+
+def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_language.document_labels(p5_segments(spark, folder).withColumnRenamed("page_id", "row_id")).withColumnRenamed("row_id", "page_id")
 
 
 def p6_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,10 +113,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_cleaned": p2_cleaned,
         "p3_found": p3_found,
         "p3_kept_scrapes": p3_kept_scrapes,
+        "p3_kept_pages": p3_kept_pages,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_segments": p5_segments,
+        "p5_documents": p5_documents,
         "p6_found": p6_found,
         "p6_bodies": p6_bodies,
         "p7_ids": p7_ids,

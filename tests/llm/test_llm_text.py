@@ -94,6 +94,8 @@ def test_lines_of_a_site(spark):
     cleaned = p2_site_lines.without_lines(_scrapes(spark, rows), found)
     texts = {r.scrape_id: (r.markdown, r.removed_lines) for r in cleaned.collect()}
     assert texts[0] == ("Own words number a\n\n---\n© 0", 1) and texts[202] == (None, 0) and texts[203] == ("Share this page", 0) and texts[100] == ("", 1)
+    clashing = _scrapes(spark, rows).selectExpr("*", "1 as removed_lines", "2 as line_no", "3 as _id", "4 as _drop")
+    assert p2_site_lines.without_lines(clashing, found).where("removed_lines = 1").count() == 12
     assert p2_site_lines.repeated_lines(_scrapes(spark, rows).where("false")).count() == 0
 
 
@@ -202,6 +204,18 @@ def test_wrong_labels(spark, sentences):
     assert p5_language.wrong_labels(df.where("false"), samples).count() == 0
 
 
+@needs_data
+def test_segments(spark, sentences):
+    samples = spark.read.parquet(f"{DATA}/lang_samples.parquet")
+    by = {c: " ".join(t for k, t in sentences if k == c)[:400] for c in ("en", "ru", "ja")}
+    df = spark.createDataFrame([(1, by["en"] + "\n\nOk\n" + by["ru"] + "\n" + by["ru"] + "\n- 7\n" + by["en"]), (2, by["ja"]), (3, ""), (4, None)], "page_id bigint, markdown string")
+    lines = p5_language.label_lines(df, samples)
+    got = sorted((r.row_id, r.segment_no, r.first_line, r.last_line, r.lang_code) for r in p5_language.language_segments(lines).collect())
+    assert got == [(1, 1, 1, 3, "en"), (1, 2, 4, 5, "ru"), (1, 3, 7, 7, "en"), (2, 1, 1, 1, "ja")]
+    labels = {r.row_id: (r.lang_code, r.confidence > 0.8) for r in p5_language.document_labels(p5_language.language_segments(lines)).collect()}
+    assert labels == {1: ("ru", True), 2: ("ja", True)}
+
+
 def test_language_codes():
     names = {"en-US": "en", "EN_gb": "en", "Deutsch": "de", " ru ": "ru", "русский": "ru", "日本語": "ja", "xx": None, "": None, None: None, "utf-8": None, "uk": "uk", "0": None}
     assert {k: p5_language.language_code(k) for k in names} == names
