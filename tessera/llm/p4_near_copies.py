@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import if_small
 from tessera.session import settle
 
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
@@ -35,6 +36,8 @@ MODULUS = (1 << 31) - 1
 SKETCH_BINS, SKETCH_SIGMAS = 128, 4.0
 #: Members of one block of an anchor; anchors with more are cut into blocks and compared block by block.
 BLOCK = 512
+#: So many bare ids may be broadcast (some 50 MB) to save a shuffle of the texts; more are joined by shuffle.
+IDS_BROADCAST = 2_000_000
 #: Texts whose words a worker holds at once.
 ROWS_AT_ONCE = 2_000
 #: Words remembered by a worker; emptied when full.
@@ -312,9 +315,9 @@ def near_links(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "mar
     """
     classes = classes_of(df, id_col, text_col)
     pairs = settle(meeting_pairs(classes, least))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].alias("t")).where("t is not null")
-    texts = texts.join(needed, "id", "left_semi")
+    texts = texts.join(if_small(needed, IDS_BROADCAST), "id", "left_semi")
     sets = texts.mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"])
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return settle(joined.mapInPandas(_similar(least), "a bigint, b bigint, similarity double")), classes
