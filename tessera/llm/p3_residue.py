@@ -38,7 +38,7 @@ NOTHING, ERROR, HELP, SCRIPT, FILLER = range(5)
 
 #: Ways to write a field that is to be filled in. Fixed values.
 _PLACEHOLDER = regex.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\[\[[\w .|-]{1,40}\]\]|[#$]\{[\w .]{1,40}\}|%%[\w .]{2,40}%%|<%=?[^%<>\n]{1,40}%>|\{%[^%{}\n]{1,40}%\}"
+    r"\{\{[^{}\n]{1,40}\}\}|\[\[[A-Za-z_][\w.]{0,40}\]\]|[#$]\{[\w .]{1,40}\}|%%[\w .]{2,40}%%|<%=?[^%<>\n]{1,40}%>|\{%[^%{}\n]{1,40}%\}"
     r"|(?<![\w{$#f\"'])\{[A-Za-z_][\w.]{1,30}\}(?![\w}])|@@\w[\w.]{1,30}@@|(?<![\w_])__[A-Z][A-Z_.]{1,30}__(?![\w_])|\*\|\w[\w.: ]{1,30}\|\*"
     r"|\[(?:INSERT|YOUR|insert|your|Insert|Your)[ _][\w .]{1,40}\]|(?<![\w%])%[A-Z][A-Z_]{2,30}%(?![\w%])"
 )
