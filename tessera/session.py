@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,26 @@ def build_session(app: str = "tessera", cores: int | str = "*", partitions: int
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    make_importable(spark)
     return spark
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package, wherever the driver was started.
+
+    Local workers get the package's folder on their path; a cluster gets the package as a file, once per application.
+    """
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known:
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+    if not context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="tessera-code-")  # on the driver, which serves the file as long as it lives
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "tessera"), "zip", root, "tessera"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

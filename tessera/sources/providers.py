@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import udtf
 
+from tessera.session import make_importable
+
 
 class ResponseLog(DataSource):
     """``spark.read.format("response_log").load(folder)``: one response per JSON file, the provider named by its folder."""
@@ -63,5 +65,6 @@ class SearchItems:
 
 
 def register(spark: SparkSession) -> None:
+    make_importable(spark)
     spark.dataSource.register(ResponseLog)
     spark.udtf.register("search_items", SearchItems)
