@@ -75,6 +75,23 @@ def test_garbled_fields_of_any_rows(spark):
     assert p1_encoding.garbled_fields(pages.where("false"), titles.where("false"), samples.where("false")).count() == 0
 
 
+@needs_data
+def test_garbling_written_as_character_references(spark, sentences):
+    repairer = p1_encoding.Repairer(p1_encoding.train_costs(t for _, t in sentences))
+    refer = lambda text: "".join(c if c < "\x80" else f"&#{ord(c)};" if k % 2 else f"&#x{ord(c):x};" for k, c in enumerate(text))
+    for clean, read in (("Die Preisliste prüft das Wetterblatt – für Gäste", "cp1252"), ("для страниц и данных", "cp1251")):
+        bad = refer(clean.encode().decode(read))
+        assert bad.isascii()
+        assert p1_encoding.repair_html(f"<p>{bad} &lt;b&gt; &amp;lt; R&D</p><p>x &#x27;y&#x27;</p>", repairer)[0] == f"<p>{clean} &lt;b&gt; &amp;lt; R&amp;D</p><p>x &#x27;y&#x27;</p>"
+        assert p1_encoding.repair_html(f"<p>{refer(clean)} &copy; &nbsp; a &amp; b &#0;</p><code>{bad}</code>", repairer) is None
+    assert p1_encoding.repair_html("<p>It isn&#226;&#128;&#x99;t the cache</p>", repairer)[0] == "<p>It isn’t the cache</p>"
+    assert p1_encoding.repair_html("<p>Caf&#xFFFD; terminal</p>", repairer)[2] is False
+    pages = spark.createDataFrame([(1, f"<p>{bad}</p>"), (2, "<p>a &amp; b</p>"), (3, "<p>plain</p>"), (4, "<p>&copy; caf&eacute;</p>")], "page_id bigint, html string")
+    titles = spark.createDataFrame([], "page_id bigint, title string")
+    samples = spark.read.parquet(f"{DATA}/lang_samples.parquet")
+    assert [(r.page_id, r.restored) for r in p1_encoding.garbled_fields(pages, titles, samples).collect()] == [(1, f"<p>{clean}</p>")]
+
+
 # ---- problem 2
 
 SCRAPES = "scrape_id bigint, url string, title string, markdown string, site string, line string"
