@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: At most so many pages train the potentials (they are read by the driver).
 TRAINING_PAGES = 1_500
-BUCKETS, EPOCHS, RATE, DECAY, SEED = 1 << 15, 4, 0.25, 1e-5, 3
+BUCKETS, EPOCHS, RATE, DECAY, SEED = 1 << 17, 4, 0.25, 1e-5, 3
 #: How far labels of neighbours agree in the tree of the Markdown: a paragraph with its lines, the text with its paragraphs.
 LINE_TIE, PARAGRAPH_TIE = 0.93, 0.6
 #: How many times the log-odds of a line's block count in the tree of the Markdown: the page has weighed them already.
@@ -149,10 +149,12 @@ def parse(html: str) -> list[Block]:
 
 
 _SIZES = (1, 2, 4, 8, 16, 30, 60, 120)
+#: The words of a text, and its bigrams, weigh together no more than so many do.
+WORDS_WEIGHT = 10
 
 
-def text_features(text: str, linked: float, inner: int, outer: int, kind: str, hashes: Hashes) -> list[int]:
-    """What a piece of text looks like, wherever it stands: its words, length, marks and links."""
+def text_features(text: str, linked: float, inner: int, outer: int, kind: str, hashes: Hashes) -> tuple[list[int], list[float]]:
+    """What a piece of text looks like, wherever it stands, and how much each feature counts: its words, length, marks and links."""
     words = _WORD.findall(text.lower())
     n = len(words)
     size = sum(n > s for s in _SIZES)
@@ -161,13 +163,13 @@ def text_features(text: str, linked: float, inner: int, outer: int, kind: str, h
     link = "n" if linked <= 0 else "f" if linked > 0.85 else "p"
     where = "b" if inner and outer else "i" if inner else "e" if outer else "n"
     out = [hashes["bias"], hashes[f"size:{size}{sentence}"], hashes[f"link:{link}{where}"], hashes[f"kind:{kind}{link}{where}"], hashes[f"kindsize:{kind}{size}{sentence}"]]
-    chosen = words if n <= 24 else words[:4] + words[-3:]
-    out += [hashes["w:" + w] for w in chosen if not w.isdigit()]
-    if 1 < n <= 24:
-        out += [hashes[f"b:{a} {b}"] for a, b in zip(words[:5], words[1:6])]
     if not (words and any(c.isalpha() for c in text)):
         out.append(hashes["noletters"])
-    return out
+    weights = [1.0] * len(out)
+    out += [hashes["w:" + w] for w in words if not w.isdigit()]
+    out += [hashes[f"b:{a} {b}"] for a, b in zip(words, words[1:])]
+    weights += [min(1.0, WORDS_WEIGHT / max(n, 1))] * (len(out) - len(weights))
+    return out, weights
 
 
 def kind_of(tag: str) -> str:
@@ -237,7 +239,7 @@ def train(pages: list[str]) -> Model:
     """Potentials of blocks by logistic regression on hashed features, of neighbours by counting."""
     random = np.random.default_rng(SEED)
     hashes = Hashes()
-    rows: list[tuple[list[int], list[int], int]] = []
+    rows: list[tuple[tuple[list[int], list[float]], list[int], int]] = []
     counts: dict = defaultdict(lambda: np.ones((2, 2)))
     for html in pages:
         blocks = parse(html)
@@ -255,18 +257,17 @@ def train(pages: list[str]) -> Model:
     weights, seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
     for _ in range(EPOCHS):
         for i in random.permutation(len(rows)):
-            text, shape, label = rows[i]
+            (text, shares), shape, label = rows[i]
             chance = random.random()
-            index = text if chance < 0.45 else text + shape
-            if 0.45 <= chance < 0.6:
-                index = text + shape[:2]
-            z = weights[index].sum()
+            shown = [] if chance < 0.45 else shape[:2] if chance < 0.6 else shape
+            index, parts = text + shown, shares + [1.0] * len(shown)
+            z = weights[index] @ parts
             error = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label
             if abs(error) < 1e-3:
                 continue
-            for j in index:
-                seen[j] += error * error
-                weights[j] -= RATE * (error / math.sqrt(seen[j]) + DECAY * weights[j])
+            for j, part in zip(index, parts):
+                seen[j] += (error * part) ** 2
+                weights[j] -= RATE * (error * part / math.sqrt(seen[j]) + DECAY * weights[j])
     ties = {}
     for key, n in counts.items():
         joint = n / n.sum()
@@ -320,6 +321,7 @@ def block_marginals(html: str, model: Model, hashes: Hashes) -> list[tuple[str,
     blocks = parse(html)
     places = _places(blocks)
     index: list[int] = []
+    parts: list[float] = []
     starts, owners, texts = [], [], []
     for k, b in enumerate(blocks):
         if b.size:
@@ -328,12 +330,14 @@ def block_marginals(html: str, model: Model, hashes: Hashes) -> list[tuple[str,
                 starts.append(len(index))
                 owners.append(k)
                 texts.append(text)
-                index += text_features(text, b.linked / b.size, b.inner, b.outer, kind_of(b.tag), hashes)
-                index += shape_features(blocks, k, places[k], hashes)
+                features, shares = text_features(text, b.linked / b.size, b.inner, b.outer, kind_of(b.tag), hashes)
+                shape = shape_features(blocks, k, places[k], hashes)
+                index += features + shape
+                parts += shares + [1.0] * len(shape)
     if not owners:
         return []
     odds = [0.0] * len(blocks)
-    for k, z in zip(owners, np.add.reduceat(model.weights[index], starts).tolist()):
+    for k, z in zip(owners, np.add.reduceat(model.weights[index] * np.array(parts), starts).tolist()):
         odds[k] = z
     default = model.ties["", ""]
     ties = [model.ties.get(_tie_key(blocks, k), default) if k else default for k in range(len(blocks))]
@@ -357,6 +361,7 @@ def line_marginals(markdown: str, html: str | None, model: Model, hashes: Hashes
     line_tie = ((LINE_TIE, 1 - LINE_TIE), (1 - LINE_TIE, LINE_TIE))
     nodes: list[int] = []
     index: list[int] = []
+    shares: list[float] = []
     starts: list[int] = []
     pending: list[int] = []
     for no, line in enumerate(markdown.split("\n"), 1):
@@ -405,9 +410,11 @@ def line_marginals(markdown: str, html: str | None, model: Model, hashes: Hashes
             continue
         starts.append(len(index))
         pending.append(node)
-        index += text_features(plain, linked, sum("://" not in h for _, h in links), sum("://" in h for _, h in links), kind, hashes)
+        features, own = text_features(plain, linked, sum("://" not in h for _, h in links), sum("://" in h for _, h in links), kind, hashes)
+        index += features
+        shares += own
     if pending:
-        for node, z in zip(pending, np.add.reduceat(model.weights[index], starts).tolist()):
+        for node, z in zip(pending, np.add.reduceat(model.weights[index] * np.array(shares), starts).tolist()):
             odds[node] = z
     if not nodes:
         return []
@@ -430,7 +437,7 @@ def label_content(extracted: DataFrame, pages: DataFrame, *, id_col: str = "page
 
     Rows delivered twice count once. Texts without a page, or with a null or empty one, are read by themselves;
     null and blank texts give no row; an empty table on either side gives what the other allows. One shuffle of
-    both texts by id; the potentials (128 KB) are trained on the driver on at most ``TRAINING_PAGES`` pages.
+    both texts by id; the potentials (512 KB) are trained on the driver on at most ``TRAINING_PAGES`` pages.
     """
     spark = extracted.sparkSession
     model = spark.sparkContext.broadcast(train(training_pages(pages, html_col)))

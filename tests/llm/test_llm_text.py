@@ -298,3 +298,20 @@ def test_content_of_any_rows(spark):
     bodies = {r.page_id: r.body for r in p6_main_content.main_body(out).collect()}
     assert bodies[0].startswith("# Title\nThe harbour")
     assert p6_main_content.label_content(texts.where("false"), pages).count() == 0
+
+
+def test_words_in_the_middle_of_long_lines():
+    rng = random.Random(8)
+    draw = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    neutral, story, notice = "one two three four five six seven".split(), "harbour boat fisher tide quay net sailor".split(), "cookies consent accept partners privacy settings decline".split()
+    line = lambda words: f"{draw(neutral, 8)} {draw(words, 24)} {draw(neutral, 8)}."
+    model = p6_main_content.train([f"<article><p>{line(story)}</p></article><footer><p>{line(notice)}</p></footer>" for _ in range(60)])
+    hashes = p6_main_content.Hashes()
+    start, end = draw(neutral, 8), draw(neutral, 8)
+    chance = lambda words: p6_main_content.line_marginals(f"{start} {draw(words, 24)} {end}.", None, model, hashes)[0][1]
+    assert chance(story) > 0.7 and chance(notice) < 0.3
+    for words in (story, notice):  # every word and every bigram of a long text counts
+        text = f"{start} {draw(words, 24)} {end}"
+        split = text.split()
+        index, shares = p6_main_content.text_features(text, 0, 0, 0, "p", hashes)
+        assert {hashes["w:" + w] for w in split} | {hashes[f"b:{a} {b}"] for a, b in zip(split, split[1:])} <= set(index) and len(index) == len(shares)
