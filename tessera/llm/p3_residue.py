@@ -309,10 +309,11 @@ def find_residue(pages: DataFrame, scrapes: DataFrame) -> DataFrame:
 
     ``reason`` is placeholder, error, script or filler (the first that holds). Null and blank texts are no cases;
     rows delivered twice count once; records without a host have no boilerplate subtracted; an empty table gives
-    nothing. One pass over the texts; of each line only its key, kind and length go further.
+    nothing. One pass over the texts; of each line only its key, kind and length go further, and are shuffled once by
+    record.
     """
     read = _read(pages, "pages", "page_id", "url", "html", None, True).unionByName(_read(scrapes, "scrapes", "scrape_id", "url", "markdown", "title", False))
-    read = settle(read)
+    read = settle(read.dropDuplicates(["record_table", "record_id"]))  # before any word, line or record is counted
     hosts = read.groupBy("host_id").agg(F.count(F.lit(1)).alias("records"))
     suspects = read.where("evidence and not bad")
     # only the lines of suspects need counts; their keys are counted over all records of their hosts

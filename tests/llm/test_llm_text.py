@@ -167,6 +167,18 @@ def test_boilerplate_of_a_host_is_no_content(spark):
     assert [(r.record_id, r.reason) for r in p3_residue.find_residue(p, s).collect()] == [(0, "error")]
 
 
+def test_records_delivered_twice_count_once(spark):
+    words = " ".join(f"word{chr(97 + k)}" for k in range(25))  # 50 if both copies counted
+    rows = [(1, "https://a.example/1", "T", f"# Service unavailable\n\n{words}")]
+    shared = " ".join(f"shared{chr(97 + k)}" for k in range(22)) + " " + " ".join(f"line{chr(97 + k)}" for k in range(22))
+    rows += [(10 + k, f"https://b.example/{k}", "T", ("# Service unavailable\n\n" if k == 0 else "") + shared) for k in range(3)]  # in three records, not in six
+    s = spark.createDataFrame(rows + rows, "scrape_id bigint, url string, title string, markdown string")
+    html = [(1, "https://c.example/1", f"<h1>Page not found</h1><p>{words}</p>")]
+    p = spark.createDataFrame(html + html, "page_id bigint, url string, html string")
+    got = sorted((r.record_table, r.record_id, r.reason, r.content_words) for r in p3_residue.find_residue(p, s).collect())
+    assert got == [("pages", 1, "error", 25), ("scrapes", 1, "error", 25)]
+
+
 # ---- problem 5
 
 
