@@ -160,16 +160,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        which, hashes, offsets = shingles(batch.column(1).to_pylist())
-        names = ["scrape_id", "class_a", "class_b", "symbols", "sketch"]
+        texts = batch.column(1).to_pylist()
+        which, hashes, offsets = shingles(texts)
+        names = ["scrape_id", "class_a", "class_b", "text_a", "text_b", "symbols", "sketch"]
         if not len(which):
             continue
         words = symbols(hashes, offsets)
         sums = np.add.reduceat(_mixed(hashes), offsets[:-1])
         xors = np.bitwise_xor.reduceat(_mixed(hashes + np.uint64(7)), offsets[:-1])
+        exact = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[k]) for k in which), dtype=np.int64).reshape(-1, 2)
         four = pa.FixedSizeListArray.from_arrays(pa.array(sketches(hashes, offsets).reshape(-1)), 4).cast(pa.list_(pa.int64()))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(words.reshape(-1)), N_SYMBOLS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[which], pa.int64()), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), lists, four], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[which], pa.int64()), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), pa.array(exact[:, 0]), pa.array(exact[:, 1]), lists, four], names=names)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +188,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes_of(df: DataFrame, id_col: str = "scrape_id", text_col: str = "markdown") -> DataFrame:
-    """``(scrape_id, rep, symbols, sketch)``: texts with the same set of shingles share a representative, the lowest id. Settled."""
+    """``(scrape_id, rep, text, symbols, sketch)``. Settled.
+
+    Texts with the same set of shingles share a representative, the lowest id; equal texts also share ``text``, the
+    lowest id among them.
+    """
     source = df.select(df[id_col].cast("bigint").alias("scrape_id"), df[text_col].alias("t")).where("scrape_id is not null and t is not null")
-    prints = settle(source.mapInArrow(_fingerprints, "scrape_id bigint, class_a bigint, class_b bigint, symbols array<bigint>, sketch array<bigint>"))
-    reps = prints.groupBy("class_a", "class_b").agg(F.min("scrape_id").alias("rep"))
-    return settle(prints.join(reps, ["class_a", "class_b"]).select("scrape_id", "rep", "symbols", "sketch").dropDuplicates(["scrape_id"]))
+    kinds = "scrape_id bigint, class_a bigint, class_b bigint, text_a bigint, text_b bigint, symbols array<bigint>, sketch array<bigint>"
+    prints = settle(source.mapInArrow(_fingerprints, kinds))
+    texts = prints.groupBy("class_a", "class_b", "text_a", "text_b").agg(F.min("scrape_id").alias("text"))
+    names = texts.join(texts.groupBy("class_a", "class_b").agg(F.min("text").alias("rep")), ["class_a", "class_b"])
+    named = prints.join(names, ["class_a", "class_b", "text_a", "text_b"])
+    return settle(named.select("scrape_id", "rep", "text", "symbols", "sketch").dropDuplicates(["scrape_id"]))
 
 
 def _alike(least: float) -> Column:
@@ -308,7 +317,7 @@ def _similar(least: float):
 
 
 def near_links(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b, similarity)`` between representatives of different texts, and ``classes_of`` the table.
+    """Links ``(a, b, similarity)`` between representatives of texts with different shingles, and ``classes_of`` the table.
 
     Similarity: of all distinct sequences of five words in either text, the part that is in both. Texts under
     ``LEAST_WORDS`` words, null texts and null ids take no part; repeated rows count once.
@@ -326,24 +335,25 @@ def near_links(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "mar
 def near_pairs(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown", least: float = 0.8) -> DataFrame:
     """``(scrape_a, scrape_b, similarity)``, scrape_a < scrape_b, of all rows.
 
-    Between different texts: every member of either class with the other's representative. Between copies of one text:
-    each copy with its representative. So the result grows with copies times links and never with pairs of copies,
-    however many rows share a text; what is left out follows from the classes (:func:`near_groups`).
+    Between different texts: all pairs, also where the texts have the same shingles. Between equal texts: each copy
+    with the lowest id among them, so copies of one text add rows in proportion to their number and never in pairs.
     """
     links, classes = near_links(df, id_col=id_col, text_col=text_col, least=least)
-    members = classes.select("rep", F.col("scrape_id").alias("x"))
-    ways = links.select("a", "b", "similarity").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    across = ways.join(members, F.col("a") == F.col("rep")).select("x", F.col("b").alias("y"), "similarity")
-    copies = members.where("x != rep").select("x", F.col("rep").alias("y"), F.lit(1.0).alias("similarity"))
-    pairs = across.unionByName(copies).select(F.least("x", "y").alias("scrape_a"), F.greatest("x", "y").alias("scrape_b"), "similarity")
-    return pairs.distinct()
+    texts = classes.where("scrape_id = text").select("rep", "text")
+    left, right = (texts.select(F.col("rep").alias(r), F.col("text").alias(t)) for r, t in (("a", "p"), ("b", "q")))
+    alike = links.join(left, "a").join(right, "b").select("p", "q", "similarity")
+    alike = alike.unionByName(left.join(right, F.col("a") == F.col("b")).where("p < q").select("p", "q", F.lit(1.0).alias("similarity")))
+    members = [classes.select(F.col("text").alias(t), F.col("scrape_id").alias(x)) for t, x in (("p", "x"), ("q", "y"))]
+    across = alike.join(members[0], "p").join(members[1], "q").select("x", "y", "similarity")
+    copies = classes.where("scrape_id != text").select(F.col("scrape_id").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(copies).select(F.least("x", "y").alias("scrape_a"), F.greatest("x", "y").alias("scrape_b"), "similarity")
 
 
 def near_groups(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown", least: float = 0.8) -> DataFrame:
     """``(scrape_id, class_id, group_id, links)``: one row per text of at least ``LEAST_WORDS`` words.
 
-    ``class_id`` is the lowest id with the same text, ``group_id`` the lowest id that links lead to, ``links`` the
-    number of other texts (classes) it is alike to.
+    ``class_id`` is the lowest id whose text has the same shingles, ``group_id`` the lowest id that links lead to,
+    ``links`` the number of other classes it is alike to.
     """
     from tessera.llm.groups import connected
 

@@ -60,6 +60,19 @@ def test_pairs_and_groups_against_brute_force(spark):
     assert near.near_pairs(df.where("false")).count() == 0 and near.near_groups(df.where("false")).count() == 0
 
 
+def test_all_pairs_of_different_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(90)]
+    forms = [" ".join(words), " ".join(words).upper(), ", ".join(words), "# " + " ".join(words), "**" + " ".join(words) + "**", "\n".join(words)]  # one set of shingles
+    edited = " ".join(words[:-2] + ["other", "end"])
+    texts = list(enumerate([*forms, forms[1], forms[1], forms[2], edited, edited, edited.upper()]))
+    df = spark.createDataFrame([(k, t, "r", 1, "s") for k, t in texts + texts[:3]], SCHEMA)
+    lowest = {t: k for k, t in reversed(texts)}
+    short = {(a, b) for (a, t), (b, u) in itertools.combinations(texts, 2) if t == u and lowest[t] != a}  # copies neither of which is the lowest
+    rows = [(r.scrape_a, r.scrape_b) for r in near.near_pairs(df, least=0.6).collect()]
+    assert short and len(rows) == len(set(rows)) and set(rows) == _truth(texts, 0.6) - short
+
+
 def test_code_words_of_fingerprints():
     rng = np.random.default_rng(2)
     words = rng.integers(0, near.MODULUS, (40, near.N_SYMBOLS))
