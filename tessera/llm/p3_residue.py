@@ -127,8 +127,6 @@ _FENCE = regex.compile(r"^\s*(```+|~~~+)")
 
 def _is_filler(text: str) -> bool:
     """Words of typing exercises or of the usual dummy text, for the most part."""
-    if not any(w.strip(".,;:!?").lower() in _DUMMY for w in text.split(None, 4)[:4]):
-        return False
     words = _WORD.findall(text.lower())
     return len(words) >= 4 and sum(w in _DUMMY for w in words) >= 0.75 * len(words)
 

@@ -167,6 +167,13 @@ def test_boilerplate_of_a_host_is_no_content(spark):
     assert [(r.record_id, r.reason) for r in p3_residue.find_residue(p, s).collect()] == [(0, "error")]
 
 
+def test_filler_after_other_words():
+    dummy = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim"
+    assert p3_residue.kind_of(f"Here is some sample copy: {dummy}.") == p3_residue.FILLER
+    assert p3_residue.kind_of(f"Here is some sample copy of what they mean when they write that {dummy[:40]}") == p3_residue.NOTHING
+    assert p3_residue.kind_of("The office counts the boats of this harbour, as it always did") == p3_residue.NOTHING
+
+
 def test_records_delivered_twice_count_once(spark):
     words = " ".join(f"word{chr(97 + k)}" for k in range(25))  # 50 if both copies counted
     rows = [(1, "https://a.example/1", "T", f"# Service unavailable\n\n{words}")]
