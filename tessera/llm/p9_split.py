@@ -57,17 +57,19 @@ def boundary_kinds(text: str, places: np.ndarray) -> np.ndarray:
     kinds[(space & ((ended & _END) > 0)) | ((ended & _WIDE_END) > 0)] = SENTENCE
     kinds[(one & _FEED) > 0] = LINE
     ends = np.fromiter((m.end() for m in _PARAGRAPHS.finditer(text)), dtype=np.int64)
+    ends = ends[ends >= places[0]]  # the places may be those of a part of the text
     if len(ends):
         found = np.searchsorted(places, ends, side="right") - 1
         kinds[found[(ends - places[found] <= 1)]] = PARAGRAPH
     return kinds
 
 
-def boundary_table(text: str, words: Encoder, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def boundary_table(text: str, words: Encoder, known: tuple | None = None, around: tuple[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places where ``text`` may be cut: code point offsets, tokens before them, kind, whether inside a word.
 
     Ends of words of the tokenizer are cheap to cut, since the ids on both sides stay as they are; a word of many
-    tokens also offers its inner token ends that lie between two code points.
+    tokens also offers its inner token ends that lie between two code points. ``around`` is a longer text and where
+    ``text`` begins in it: the first and the last place are typed by the characters on both sides of them.
     """
     split, ids = known or encoded(text, words)
     n = len(split)
@@ -85,7 +87,8 @@ def boundary_table(text: str, words: Encoder, known: tuple | None = None) -> tup
         inside = np.concatenate([inside, np.ones(len(more_places), dtype=bool)])
         order = np.argsort(places, kind="stable")
         places, tokens, inside = places[order], tokens[order], inside[order]
-    return places, tokens, boundary_kinds(text, places), inside
+    longer, begin = around or (text, 0)
+    return places, tokens, boundary_kinds(longer, places + begin), inside
 
 
 def inner_ends(word: str, ids: tuple[int, ...], pieces: dict[int, bytes]) -> list[tuple[int, int]]:
@@ -244,7 +247,7 @@ def _split_long(texts: DataFrame, tokenizer: str, size: int, halo: int) -> DataF
                     for column in rows:  # no safe place in the halo: the text is cut as one, see below
                         column.append(None)
                     continue
-                places, tokens, kinds, _ = boundary_table(chunk[first:last], words)
+                places, tokens, kinds, _ = boundary_table(chunk[first:last], words, around=(chunk, first))
                 for column, value in zip(rows, (places + begin + first, tokens, kinds.astype(np.int32))):
                     column.append(value)
                 rows[3].append(int(tokens[-1]))
@@ -260,9 +263,11 @@ def _split_long(texts: DataFrame, tokenizer: str, size: int, halo: int) -> DataF
         if parts["n_tokens"].isna().any():
             return pd.DataFrame({"doc_id": [doc], "piece_no": [0], "start_char": [0], "end_char": [0], "shared_chars": [0]})
         before = parts["n_tokens"].cumsum() - parts["n_tokens"]
-        places = np.concatenate([np.asarray(p)[int(k > 0) :] for k, p in enumerate(parts["places"])])
-        tokens = np.concatenate([(np.asarray(t) + int(s))[int(k > 0) :] for k, (t, s) in enumerate(zip(parts["tokens"], before))])
-        kinds = np.concatenate([np.asarray(t)[int(k > 0) :] for k, t in enumerate(parts["kinds"])])
+        # the last place of a range is the first one of the next, which knows the places after it
+        upto = [len(p) - int(k < len(parts) - 1) for k, p in enumerate(parts["places"])]
+        places = np.concatenate([np.asarray(p)[:n] for n, p in zip(upto, parts["places"])])
+        tokens = np.concatenate([(np.asarray(t) + int(s))[:n] for n, t, s in zip(upto, parts["tokens"], before)])
+        kinds = np.concatenate([np.asarray(t)[:n] for n, t in zip(upto, parts["kinds"])])
         limit, overlap = int(parts["max_tokens"].iloc[0]), max(0, int(parts["overlap_tokens"].iloc[0]))
         if tokens[-1] <= limit:
             return pd.DataFrame({"doc_id": [], "piece_no": [], "start_char": [], "end_char": [], "shared_chars": []})

@@ -131,3 +131,13 @@ def test_cuts_are_natural(spark):
     limits = spark.createDataFrame([("s", 90, 0)], "source string, max_tokens int, overlap_tokens int")
     pieces = [r.piece for r in p9_split.split_oversized(docs, limits).orderBy("piece_no").collect()]
     assert pieces[0].endswith("\n\n") and all(p.rstrip().endswith(".") for p in pieces)
+
+
+def test_ranges_cut_where_the_whole_text_is_cut(spark):
+    rng = random.Random(12)
+    sentence = lambda: " ".join(rng.choice(("harbour", "boat", "old", "counts", "names", "night")) for _ in range(rng.randint(2, 6))) + rng.choice((". ", ", ", "! ", ".\n", ".\n\n"))
+    texts = [(k, "s", "".join(sentence() for _ in range(150))) for k in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, source string, text string")
+    limits = spark.createDataFrame([("s", 14, 3)], "source string, max_tokens int, overlap_tokens int")
+    cut = lambda size: sorted((r.doc_id, r.piece_no, r.start_char, r.end_char) for r in p9_split.split_oversized(docs, limits, range_chars=size, halo_chars=80).collect())
+    assert cut(150) == cut(1_000_000)
