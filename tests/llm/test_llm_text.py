@@ -92,6 +92,19 @@ def test_garbling_written_as_character_references(spark, sentences):
     assert [(r.page_id, r.restored) for r in p1_encoding.garbled_fields(pages, titles, samples).collect()] == [(1, f"<p>{clean}</p>")]
 
 
+@needs_data
+def test_titles_with_code_samples_and_many_layers(sentences):
+    repairer = p1_encoding.Repairer(p1_encoding.train_costs(t for _, t in sentences))
+    clean = "Die Preisliste prüft das Wetterblatt – für Gäste"
+    bad = clean.encode().decode("cp1252")
+    assert p1_encoding.repair_title(f"{bad} `Ã¼`\f``é``und {bad}", repairer) == (f"{clean} `Ã¼`\f``é``und {clean}", ["utf_8 read as cp1252"], True)
+    deep = clean
+    for _ in range(6):
+        deep = deep.encode().decode("latin-1")
+    text, layers, whole = p1_encoding.repair_title(deep, repairer)
+    assert text == clean and len(layers) == 6 and whole
+
+
 # ---- problem 2
 
 SCRAPES = "scrape_id bigint, url string, title string, markdown string, site string, line string"
