@@ -2,7 +2,8 @@
 
 Every page of a site has a dense ordinal. A line's pages are a compressed bitmap: containers of 65 536 ordinals,
 each stored as a sorted array while sparse and as bits when dense. The bitmaps of spellings that differ only in
-digits, marks or case are united; their exact cardinalities decide.
+digits, marks or case are united; their exact cardinalities decide which lines are repeated. An occurrence of a line is
+taken out if the bit of its page is set in the bitmap of a repeated line.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tessera.session import settle
 LEAST_PAGES, LEAST_SHARE = 8, 0.25
 #: Ordinals of one container, and how many of them a sorted array may hold before bits are smaller.
 CONTAINER_BITS, ARRAY_MOST = 16, 4_096
+#: Bitmaps of at most so many bytes in all may be broadcast to the look-up.
+BITMAP_BYTES = 32 << 20
 
 
 def site_of(url: Column) -> Column:
@@ -67,6 +70,13 @@ def unite(containers: list[bytes]) -> bytes:
     return pack(np.flatnonzero(bits))
 
 
+def opened(container: bytes) -> tuple[list[int] | None, list[int] | None]:
+    """A container as the columns that the look-up reads: its sorted ordinals, or its bits in words of 64."""
+    if container[:1] == b"A":
+        return unpack(container).tolist(), None
+    return None, np.frombuffer(container, dtype="<i8", offset=1).tolist()
+
+
 def _bitmaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted rows (site_id, line_id, chunk, variant, low) to one united container per (site_id, line_id, chunk)."""
     columns = ["site_id", "line_id", "chunk"]
@@ -77,13 +87,13 @@ def _bitmaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = rows["low"].to_numpy()
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         ends = np.r_[starts[1:], len(keys)]
-        out: dict[str, list] = {c: [] for c in (*columns, "container", "pages", "variants")}
+        out: dict[str, list] = {c: [] for c in (*columns, "few", "words", "pages", "variants")}
         group: list[bytes] = []
         for k, (a, b) in enumerate(zip(starts, ends)):
             group.append(pack(np.unique(low[a:b])))
             if k + 1 == len(starts) or (keys[starts[k + 1]][:3] != keys[a][:3]).any():
                 whole = unite(group)
-                for c, v in zip(out, (*(int(x) for x in keys[a][:3]), whole, len(unpack(whole)), len(group))):
+                for c, v in zip(out, (*(int(x) for x in keys[a][:3]), *opened(whole), len(unpack(whole)), len(group))):
                     out[c].append(v)
                 group = []
         return pd.DataFrame(out)
@@ -108,14 +118,24 @@ def _named(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame
     return rows.select("scrape_id", site_of(F.col("url")).alias("site"), path_of(F.col("url")).alias("path"), "markdown").where("site is not null")
 
 
-def repeated_lines(df: DataFrame, *, id_col: str = "scrape_id", url_col: str = "url", text_col: str = "markdown",
-                   least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``(scrape_id, line_no, site, line_id, pages, site_pages)``: every occurrence of a repeated line, once.
+def is_set(few: Column, words: Column, low: Column) -> Column:
+    """Whether the bit of ``low`` is set in a container: among its ordinals, or in its words of 64 bits."""
+    word = F.get(words, F.shiftright(low, 6))
+    bit = F.call_function("shiftrightunsigned", word, low.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1
+    return F.when(words.isNull(), F.array_contains(few, low)).otherwise(bit)
 
-    A line is repeated in a site if at least ``least_pages`` distinct pages and at least ``least_share`` of the
-    site's distinct pages (those without text included) have it in some spelling. Rows without a host, null and
-    empty texts and lines without letters give nothing; rows delivered twice count once; an empty table gives an
-    empty result.
+
+def _chunked(df: DataFrame) -> DataFrame:
+    """``df`` with the container of each ordinal and the ordinal within it."""
+    return df.withColumn("chunk", F.shiftright("ordinal", CONTAINER_BITS)).withColumn("low", F.col("ordinal").bitwiseAND((1 << CONTAINER_BITS) - 1).cast("int"))
+
+
+def line_bitmaps(df: DataFrame, *, id_col: str = "scrape_id", url_col: str = "url", text_col: str = "markdown",
+                 least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of lines that may be repeated, and the bitmaps of the lines that are.
+
+    Occurrences: ``(scrape_id, site_id, line_no, line_id, ordinal)``, ordinal being that of the scrape's page in its
+    site. Bitmaps: ``(site_id, line_id, site, pages, site_pages, chunk, few, words)``, a row for each container.
     """
     rows = _named(df, id_col, url_col, text_col)
     ordinals = dense_ordinals(rows.select("site", "path").distinct(), "site", ["path"], "ordinal")
@@ -132,12 +152,33 @@ def repeated_lines(df: DataFrame, *, id_col: str = "scrape_id", url_col: str = "
     kept = lines.join(if_small(often), ["site_id", "line_id"], "left_semi")
     ids = rows.select("scrape_id", "site", "path").distinct().join(ordinals, ["site", "path"]).select("scrape_id", F.xxhash64("site").alias("site_id"), "ordinal")
     kept = settle(kept.join(ids, ["scrape_id", "site_id"]).distinct())
-    chunked = kept.select("site_id", "line_id", F.shiftright("ordinal", CONTAINER_BITS).alias("chunk"), "variant", F.col("ordinal").bitwiseAND((1 << CONTAINER_BITS) - 1).cast("int").alias("low")).distinct()
+    chunked = _chunked(kept).select("site_id", "line_id", "chunk", "variant", "low").distinct()
     chunked = chunked.repartition("site_id", "line_id", "chunk").sortWithinPartitions("site_id", "line_id", "chunk", "variant")
-    bitmaps = chunked.mapInPandas(_bitmaps, "site_id bigint, line_id bigint, chunk bigint, container binary, pages bigint, variants int")
+    bitmaps = settle(chunked.mapInPandas(_bitmaps, "site_id bigint, line_id bigint, chunk bigint, few array<int>, words array<bigint>, pages bigint, variants int"))
     found = bitmaps.groupBy("site_id", "line_id").agg(F.sum("pages").alias("pages")).join(needed, "site_id").where("pages >= needed")
     found = settle(found.select("site_id", "line_id", "site", "pages", "site_pages"))
-    return kept.join(if_small(found), ["site_id", "line_id"]).select("scrape_id", "line_no", "site", "line_id", "pages", "site_pages").distinct()
+    return kept, bitmaps.drop("pages", "variants").join(if_small(found), ["site_id", "line_id"])
+
+
+def look_up(occurrences: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``(scrape_id, line_no, site, line_id, pages, site_pages)`` of the occurrences whose page's bit is set, once each."""
+    bitmaps = settle(bitmaps)
+    held = bitmaps.agg(F.sum(F.coalesce(F.size("few"), F.lit(0)) * 4 + F.coalesce(F.size("words"), F.lit(0)) * 8 + 100).alias("bytes")).first()["bytes"] or 0
+    small = F.broadcast(bitmaps) if held <= BITMAP_BYTES else bitmaps
+    met = _chunked(occurrences).join(small, ["site_id", "line_id", "chunk"]).where(is_set(F.col("few"), F.col("words"), F.col("low")))
+    return met.select("scrape_id", "line_no", "site", "line_id", "pages", "site_pages").distinct()
+
+
+def repeated_lines(df: DataFrame, *, id_col: str = "scrape_id", url_col: str = "url", text_col: str = "markdown",
+                   least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """``(scrape_id, line_no, site, line_id, pages, site_pages)``: every occurrence of a repeated line, once.
+
+    A line is repeated in a site if at least ``least_pages`` distinct pages and at least ``least_share`` of the
+    site's distinct pages (those without text included) have it in some spelling. Rows without a host, null and
+    empty texts and lines without letters give nothing; rows delivered twice count once; an empty table gives an
+    empty result.
+    """
+    return look_up(*line_bitmaps(df, id_col=id_col, url_col=url_col, text_col=text_col, least_pages=least_pages, least_share=least_share))
 
 
 def without_lines(df: DataFrame, found: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown") -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import p1_encoding, p2_site_lines, p3_residue, p5_language, p6_main_content
 
@@ -148,6 +149,21 @@ def test_containers():
 # ---- problem 3
 
 
+def test_lines_are_deleted_by_the_bits_of_their_bitmaps(spark):
+    rows = [(k, f"https://h.example/{k}", "t", f"Terms of use\nown words of {chr(97 + k) * 3}") for k in range(12)]
+    occurrences, bitmaps = p2_site_lines.line_bitmaps(_scrapes(spark, rows))
+    held = bitmaps.collect()
+    assert len(held) == 1 and held[0].few == list(range(12)) and held[0].words is None
+    assert {r.scrape_id for r in p2_site_lines.look_up(occurrences, bitmaps).collect()} == set(range(12))
+    ordinal = {r.scrape_id: r.ordinal for r in occurrences.collect()}
+    without = bitmaps.withColumn("few", F.array_remove("few", ordinal[5]))
+    assert {r.scrape_id for r in p2_site_lines.look_up(occurrences, without).collect()} == set(range(12)) - {5}
+    bits = p2_site_lines.opened(b"B" + np.packbits(np.isin(np.arange(1 << 16), [o for k, o in ordinal.items() if k != 7]), bitorder="little").tobytes())[1]
+    dense = bitmaps.withColumn("few", F.lit(None).cast("array<int>")).withColumn("words", F.lit(bits).cast("array<bigint>"))
+    assert {r.scrape_id for r in p2_site_lines.look_up(occurrences, dense).collect()} == set(range(12)) - {7}
+
+
+
 def test_residue(spark):
     words = "The harbour office counts the boats that came in over the night and writes their names into the old book. " * 4
     pages = [
