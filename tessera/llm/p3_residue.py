@@ -3,7 +3,8 @@
 Each record becomes lines; the normalised lines of a host are counted over all its records, and those that recur are
 its boilerplate. What is left of a record is its residual. A record is a case if its readable text or title has a
 placeholder nobody filled, or if its residual has filler, an error message or a notice that scripts are needed and
-next to no content beside it.
+next to no content beside it. A notice that recurs beside the content of a host's records is boilerplate of that host
+too, and no evidence. Sentences are told by a trained model (`p3_messages`) and by forms that it can't learn.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import if_small
 from tessera.llm.p2_site_lines import site_of
+from tessera.llm.p3_messages import ERROR, FILLER, HELP, NOTHING, SCRIPT, Messages, train_messages
 from tessera.session import settle
 
 #: A line is boilerplate of a host if at least so many of its records and such a part of them have it.
@@ -28,19 +30,19 @@ RECURRENT_RECORDS, RECURRENT_SHARE = 5, 0.02
 MOST_CONTENT_WORDS = 40
 #: Filler also stands in place of content if it has so many times the words of the content.
 FILLER_SHARE = 1.0
-#: Messages and their sentences are no longer than this.
-LONGEST_MESSAGE, LONGEST_SENTENCE = 300, 110
+#: At most so many records give sentences of the corpus to train the evidence model against.
+TRAINING_RECORDS = 1_500
 #: Lines remembered by a worker; emptied when full.
 REMEMBERED = 200_000
 
 PLAIN, HEADING, LINK, CODE, CHROME = range(5)
-NOTHING, ERROR, HELP, SCRIPT, FILLER = range(5)
 
 #: Ways to write a field that is to be filled in. Fixed values.
 _PLACEHOLDER = regex.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\[\[[A-Za-z_][\w.]{0,40}\]\]|[#$]\{[\w .]{1,40}\}|%%[\w .]{2,40}%%|<%=?[^%<>\n]{1,40}%>|\{%[^%{}\n]{1,40}%\}"
-    r"|(?<![\w{$#f\"'])\{[A-Za-z_][\w.]{1,30}\}(?![\w}])|@@\w[\w.]{1,30}@@|(?<![\w_])__[A-Z][A-Z_.]{1,30}__(?![\w_])|\*\|\w[\w.: ]{1,30}\|\*"
-    r"|\[(?:INSERT|YOUR|insert|your|Insert|Your)[ _][\w .]{1,40}\]|(?<![\w%])%[A-Z][A-Z_]{2,30}%(?![\w%])"
+    r"\{\{[^{}\n]+\}\}|\[\[[A-Za-z_][\w.]*\]\]|[#$]\{[\w .]+\}|%%[\w .]{2,}%%|<%=?[^%<>\n]+%>|\{%[^%{}\n]+%\}"
+    r"|(?<![\w{$#f\"'])\{[A-Za-z_][\w.]+\}(?![\w}])|@@\w[\w.]+@@|(?<![\w_])__[A-Z][A-Z_.]+__(?![\w_])|\*\|\w[\w.: ]+\|\*"
+    r"|\[(?:INSERT|YOUR|insert|your|Insert|Your)[ _][\w .]+\]|(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])|\[PLACEHOLDER\]"
+    r"|(?i:\b(?:dear|hello|hi|welcome|hallo|bonjour|hola|olá)),? (?:\[[A-Za-z_][\w ]*\](?![(\[:])|\$[A-Za-z_]\w*\b|<[A-Za-z_][\w ]*>)"
 )
 #: Words of typing exercises and of the usual dummy text. Fixed values.
 _MASHED = frozenset("foo bar baz qux quux test tests asdf qwer qwerty zxcv xxxx xxx xx blah bla abc lorem ipsum aaa tbd todo hjkl".split())
@@ -114,7 +116,6 @@ def _any(patterns: list[str]) -> regex.Pattern:
 _KINDS = [(ERROR, _any(_ERROR_SENTENCES)), (SCRIPT, _any(_SCRIPT_SENTENCES)), (FILLER, _any(_FILLER_SENTENCES)), (HELP, _any(_HELP_SENTENCES))]
 _BARE = " \t*_`.!。！\"'“”«»|"
 _DUMMY = _MASHED | _LATIN
-_STOP = regex.compile(r"[.!?。！？…]")
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _SENTENCE = regex.compile(r"(?<=[.!?。！？…])(?:\s+|(?<=[。！？]))")
 _MARKS = regex.compile(r"^(?:\s*(?:[#>]+|[-*+•]|\d+[.)])\s+|\s*[*_]+(?=\S))+")
@@ -131,15 +132,13 @@ def _is_filler(text: str) -> bool:
     return len(words) >= 4 and sum(w in _DUMMY for w in words) >= 0.75 * len(words)
 
 
-def kind_of(line: str) -> int:
+def kind_of(line: str, messages: Messages | None = None) -> int:
     """What a line is evidence of: every sentence of it must be a whole message of that sort."""
     text = _MARKS.sub("", line).strip()
     if not text:
         return NOTHING
     if _is_filler(text):
         return FILLER
-    if len(text) > LONGEST_MESSAGE or (len(text) > LONGEST_SENTENCE and not _STOP.search(text, 0, LONGEST_SENTENCE)):
-        return NOTHING
     found, at = set(), 0
     while at < len(text):
         end = _SENTENCE.search(text, at + 1)
@@ -147,9 +146,9 @@ def kind_of(line: str) -> int:
         at = end.end() if end and end.end() > at else len(text)
         if not bare:
             continue
-        if len(bare) > LONGEST_SENTENCE:
-            return NOTHING
-        kind = next((k for k, pattern in _KINDS if pattern.fullmatch(bare)), NOTHING)
+        kind = messages.kind(bare) if messages else NOTHING
+        if kind == NOTHING:
+            kind = next((k for k, pattern in _KINDS if pattern.fullmatch(bare)), NOTHING)
         if kind == NOTHING:
             return NOTHING
         found.add(kind)
@@ -165,13 +164,14 @@ def word_count(line: str) -> int:
 class Lines:
     """Kind, words and key of a line, remembered by a worker."""
 
-    def __init__(self) -> None:
+    def __init__(self, messages: Messages) -> None:
+        self.messages = messages
         self.seen: dict[tuple[str, int], tuple[int, int, int]] = {}
 
     def of(self, line: str, role: int) -> tuple[int, int, int]:
         known = self.seen.get((line, role))
         if known is None:
-            kind = kind_of(line) if role not in (LINK, CHROME) else NOTHING
+            kind = kind_of(line, self.messages) if role not in (LINK, CHROME) else NOTHING
             if role == CODE and kind not in (ERROR, NOTHING):
                 kind = NOTHING
             known = (kind, word_count(line), xxhash.xxh64_intdigest(_NO_LETTERS.sub("", line.lower())) - (1 << 63))
@@ -279,13 +279,13 @@ def html_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
 _SCHEMA = "record_table string, record_id bigint, host_id bigint, bad boolean, evidence boolean, keys array<bigint>, kinds array<int>, words array<int>, roles array<int>"
 
 
-def _read(df: DataFrame, name: str, id_col: str, url_col: str, text_col: str, title_col: str | None, html: bool) -> DataFrame:
+def _read(df: DataFrame, name: str, id_col: str, url_col: str, text_col: str, title_col: str | None, html: bool, messages: Messages) -> DataFrame:
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     source = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.when(site_of(F.col(url_col)).isNotNull(), F.xxhash64(site_of(F.col(url_col)))).alias("host_id"), F.col(text_col).alias("t"), title.alias("title"))
     source = source.where("t is not null and trim(t) != ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Lines()
+        lines = Lines(messages)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for text, head in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -302,33 +302,50 @@ def _read(df: DataFrame, name: str, id_col: str, url_col: str, text_col: str, ti
     return source.mapInArrow(run, _SCHEMA)
 
 
+def corpus_sentences(scrapes: DataFrame, id_col: str = "scrape_id", text_col: str = "markdown") -> list[str]:
+    """Sentences of the records with the lowest hashes, none of them a message in form: what the model must not take for one."""
+    chosen = scrapes.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("bigint")).alias("h"), F.col(text_col).alias("t"))
+    rows = chosen.orderBy("h", "t").limit(TRAINING_RECORDS).collect()
+    lines = dict.fromkeys(line for r in rows for line, role in markdown_lines(r.t)[0] if role in (PLAIN, HEADING))
+    plain = (_MARKS.sub("", line).strip() for line in lines if kind_of(line) == NOTHING)
+    return sorted({x.strip(_BARE) for line in plain for x in _SENTENCE.split(line) if x.strip(_BARE)})
+
+
 def find_residue(pages: DataFrame, scrapes: DataFrame) -> DataFrame:
     """``(record_table, record_id, reason, content_words)`` of every case, once.
 
     ``reason`` is placeholder, error, script or filler (the first that holds). Null and blank texts are no cases;
     rows delivered twice count once; records without a host have no boilerplate subtracted; an empty table gives
     nothing. One pass over the texts; of each line only its key, kind and length go further, and are shuffled once by
-    record.
+    record. The evidence model is trained on the driver against sentences of ``TRAINING_RECORDS`` scrapes.
     """
-    read = _read(pages, "pages", "page_id", "url", "html", None, True).unionByName(_read(scrapes, "scrapes", "scrape_id", "url", "markdown", "title", False))
+    messages = train_messages(corpus_sentences(scrapes))
+    read = _read(pages, "pages", "page_id", "url", "html", None, True, messages).unionByName(_read(scrapes, "scrapes", "scrape_id", "url", "markdown", "title", False, messages))
     read = settle(read.dropDuplicates(["record_table", "record_id"]))  # before any word, line or record is counted
     hosts = read.groupBy("host_id").agg(F.count(F.lit(1)).alias("records"))
     suspects = read.where("evidence and not bad")
     # only the lines of suspects need counts; their keys are counted over all records of their hosts
     asked = settle(suspects.select("host_id", F.explode("keys").alias("key")).distinct())
     counted = read.select("host_id", F.explode(F.array_distinct("keys")).alias("key")).join(if_small(asked), ["host_id", "key"], "left_semi")
+    often = (F.col("n") >= RECURRENT_RECORDS) & (F.col("n") >= F.col("records") * RECURRENT_SHARE)
     counted = counted.groupBy("host_id", "key").agg(F.count(F.lit(1)).alias("n")).join(hosts, "host_id")
-    recurrent = settle(counted.where((F.col("n") >= RECURRENT_RECORDS) & (F.col("n") >= F.col("records") * RECURRENT_SHARE)).select("host_id", "key", F.lit(True).alias("recurrent")))
-    lines = suspects.select("record_table", "record_id", "host_id", F.explode(F.arrays_zip("keys", "kinds", "words", "roles")).alias("l"))
-    lines = lines.select("record_table", "record_id", "host_id", F.col("l.keys").alias("key"), F.col("l.kinds").alias("kind"), F.col("l.words").alias("words"), F.col("l.roles").alias("role"))
+    recurrent = settle(counted.where(often).select("host_id", "key", F.lit(True).alias("recurrent")))
+    record = ["record_table", "record_id"]
+    lines = suspects.select(*record, "host_id", F.explode(F.arrays_zip("keys", "kinds", "words", "roles")).alias("l"))
+    lines = lines.select(*record, "host_id", F.col("l.keys").alias("key"), F.col("l.kinds").alias("kind"), F.col("l.words").alias("words"), F.col("l.roles").alias("role"))
     lines = lines.join(if_small(recurrent), ["host_id", "key"], "left")
     content = F.when((F.col("kind") == NOTHING) & F.col("role").isin(PLAIN, CODE) & F.col("recurrent").isNull(), F.col("words")).otherwise(0)
-    sums = lines.groupBy("record_table", "record_id").agg(
+    sums = settle(lines.groupBy(*record).agg(
         F.sum(content).alias("content_words"),
         F.sum(F.when(F.col("kind") == FILLER, F.col("words")).otherwise(0)).alias("filler_words"),
-        *(F.max((F.col("kind") == k).cast("int")).alias(f"k{k}") for k in (ERROR, SCRIPT, FILLER)))
+        F.collect_set(F.when(F.col("kind").isin(ERROR, SCRIPT, FILLER), F.struct("host_id", "key", "kind"))).alias("shown")))
+    shown = sums.select(*record, "content_words", F.explode("shown").alias("s")).select(*record, "content_words", "s.*")
+    # a notice that recurs beside content is a part of its host's pages and stands in place of nothing
+    beside = shown.where(F.col("content_words") > MOST_CONTENT_WORDS).groupBy("host_id", "key").agg(F.count(F.lit(1)).alias("n")).join(hosts, "host_id")
+    notices = settle(beside.where(often).select("host_id", "key"))
+    evidence = shown.join(if_small(notices), ["host_id", "key"], "left_anti").groupBy(*record).agg(*(F.max((F.col("kind") == k).cast("int")).alias(f"k{k}") for k in (ERROR, SCRIPT, FILLER)))
     alone = F.col("content_words") <= MOST_CONTENT_WORDS
     reason = F.when(alone & (F.col(f"k{ERROR}") == 1), "error").when(alone & (F.col(f"k{SCRIPT}") == 1), "script").when((F.col(f"k{FILLER}") == 1) & (alone | (F.col("filler_words") >= FILLER_SHARE * F.col("content_words"))), "filler")
-    found = sums.withColumn("reason", reason).where("reason is not null").select("record_table", "record_id", "reason", "content_words")
-    placeholders = read.where("bad").select("record_table", "record_id", F.lit("placeholder").alias("reason"), F.lit(None).cast("bigint").alias("content_words"))
-    return found.unionByName(placeholders).dropDuplicates(["record_table", "record_id"])
+    found = sums.join(evidence, record).withColumn("reason", reason).where("reason is not null").select(*record, "reason", "content_words")
+    placeholders = read.where("bad").select(*record, F.lit("placeholder").alias("reason"), F.lit(None).cast("bigint").alias("content_words"))
+    return found.unionByName(placeholders).dropDuplicates(record)
