@@ -20,8 +20,8 @@ NOTHING, ERROR, HELP, SCRIPT, FILLER = range(5)
 PLACES, PASSES = 1 << 15, 12
 #: Made sentences of one line of the grammar that are trained on, at most; the lowest hashes are taken.
 MADE = 160
-#: A sentence is a message at this probability, if at least such a part of its words is known from messages.
-SURE, KNOWN_WORDS = 0.8, 0.6
+#: A sentence is a message at this probability, and of a kind at that, if at least such a part of its words is known from messages.
+SURE, LIKELY, KNOWN_WORDS = 0.8, 0.5, 0.6
 
 _WORD = regex.compile(r"[\p{Han}\p{Katakana}]+|\p{Hiragana}+|[\p{L}\p{M}\p{N}]+(?:['’][\p{L}]+)?")
 _CODE = regex.compile(r"\b[45]\d\d\b")
@@ -114,6 +114,11 @@ _ABOUT = """
 this guide|the article|chapter two|our post|the handbook|the author|my talk / explains how to design|describes how we improved|shows how to test|is about|compares / a friendly 404 page|an error page|a page that was not found|the javascript banner|the message that scripts are required|placeholder text in a design|the old maintenance page|status codes such as 404 and 500
 the test|the crawler|the monitor|our script|the team|the operator|the reader|the proxy / counts|records|reports|measured|logged|found|fixed / every page that could not be found|the number of errors|pages with javascript disabled|a server error last week|twelve broken links|an error in the budget|the access log|all requests that timed out
 the library|the harbour|the road|the museum|the shop|the ferry|the office|the course|the bridge|the market / is closed on monday|is open until nine|was moved to the new building|has been removed from the map|is not available in winter|was not found in the old records|is under construction until may|can be found next to the station|needs a new roof|was closed after the storm
+the page|this page|your page|the article|this post|the document|the file|the link|your order|your account|our team|the list|the text|the title|a heading|the content|the description|the sample|an example|short page|page two|two words|the first line / |is short|is long|has two columns|of the harbour|was written in may|is about boats|shows the prices|for new members|and its parts|of the week
+the server|our server|the service|the site|this website|our system|the application|your browser|the database|the request|the connection|your session|access|an error|a problem|something / |stores the files|serves four offices|is fast|was bought last year|runs in the cellar|of the library|with two disks|and the network|counts the visits
+your|our|new|more|add|type|write|insert / own words|order|basket|ideas for the garden|recipes|milk and sugar|content every day|pages for children|photos of the trip|a new member|a letter to the editor
+seite|diese seite|der server|der dienst|ihr browser|la page|le serveur|le service|la página|el servidor|o servidor|a página|strona|serwer|страница|сервер|сторінка|ページ|サーバー / |des vereins|im keller|de la ville|du club|de la ciudad|da cidade|miasta|klubu|города|клуба|міста|の一覧|の写真
+the screen said|the sign read|she wrote|he saw|they told us|once we read|it said / page not found|access denied|that the server was down|that something went wrong|that the file was gone|please try again / , and nobody knew why|, so everyone went home|, which made us laugh|, then closed the ticket|, because the shop had moved|, and the story ended there
 please|you can|you may|customers can|readers / bring your own cup|send your questions to the editor|find the list in the annex|check the weather before you leave|use the side entrance|return the books by friday|try the soup|go home early today
 """
 
@@ -135,6 +140,15 @@ def words_of(sentence: str) -> list[str]:
     return out
 
 
+#: Marks around words, for a cheap look at the words of a sentence.
+_MARKS = ".,;:!?\"'()[]{}*_`~#+-–—…“”„«»‘’|/"
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a text in lower case as they stand between white space, without the marks around them."""
+    return [w.strip(_MARKS) for w in text.lower().split()]
+
+
 def features(sentence: str) -> np.ndarray:
     """Places of the words, their beginnings, the pairs of neighbours and the status code of a sentence, each once."""
     words = words_of(sentence)
@@ -155,6 +169,9 @@ class Messages:
 
     def kind(self, sentence: str) -> int:
         """The kind of a sentence; ``NOTHING`` unless the model is sure."""
+        cheap = plain_words(sentence)
+        if cheap and max(cheap) < "　" and 2 * sum(w[:5] in self.known for w in cheap) < len(cheap):
+            return NOTHING
         words = words_of(sentence)
         if len(words) < 2 or sum(w[:5] in self.known for w in words) < KNOWN_WORDS * len(words):
             return NOTHING
@@ -163,9 +180,8 @@ class Messages:
         scores = np.exp(scores - scores.max())
         scores /= scores.sum()
         # error and help together may be sure where each alone is not
-        if 1 - scores[NOTHING] < SURE:
-            return NOTHING
-        return int(np.argmax(scores[1:]) + 1)
+        kind = int(np.argmax(scores[1:]) + 1)
+        return kind if 1 - scores[NOTHING] >= SURE and scores[kind] >= LIKELY else NOTHING
 
 
 def train_messages(others: Iterable[str]) -> Messages:

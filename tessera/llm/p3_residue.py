@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import if_small
 from tessera.llm.p2_site_lines import site_of
-from tessera.llm.p3_messages import ERROR, FILLER, HELP, NOTHING, SCRIPT, Messages, train_messages
+from tessera.llm.p3_messages import ERROR, FILLER, HELP, NOTHING, SCRIPT, Messages, plain_words, train_messages
 from tessera.session import settle
 
 #: A line is boilerplate of a host if at least so many of its records and such a part of them have it.
@@ -30,8 +30,8 @@ RECURRENT_RECORDS, RECURRENT_SHARE = 5, 0.02
 MOST_CONTENT_WORDS = 40
 #: Filler also stands in place of content if it has so many times the words of the content.
 FILLER_SHARE = 1.0
-#: At most so many records give sentences of the corpus to train the evidence model against.
-TRAINING_RECORDS = 1_500
+#: At most so many records give sentences of the corpus to train the evidence model against, if they have so many words.
+TRAINING_RECORDS, TRAINING_WORDS = 1_500, 150
 #: Lines remembered by a worker; emptied when full.
 REMEMBERED = 200_000
 
@@ -109,8 +109,8 @@ _FILLER_SENTENCES = [
 ]
 
 
-def _any(patterns: list[str]) -> regex.Pattern:
-    return regex.compile("(?:" + "|".join(patterns) + ")", regex.I)
+def _any(patterns: list[str]) -> re.Pattern:
+    return re.compile("(?:" + "|".join(patterns) + ")", re.I)
 
 
 _KINDS = [(ERROR, _any(_ERROR_SENTENCES)), (SCRIPT, _any(_SCRIPT_SENTENCES)), (FILLER, _any(_FILLER_SENTENCES)), (HELP, _any(_HELP_SENTENCES))]
@@ -128,6 +128,8 @@ _FENCE = regex.compile(r"^\s*(```+|~~~+)")
 
 def _is_filler(text: str) -> bool:
     """Words of typing exercises or of the usual dummy text, for the most part."""
+    if _DUMMY.isdisjoint(plain_words(text)):
+        return False
     words = _WORD.findall(text.lower())
     return len(words) >= 4 and sum(w in _DUMMY for w in words) >= 0.75 * len(words)
 
@@ -303,10 +305,17 @@ def _read(df: DataFrame, name: str, id_col: str, url_col: str, text_col: str, ti
 
 
 def corpus_sentences(scrapes: DataFrame, id_col: str = "scrape_id", text_col: str = "markdown") -> list[str]:
-    """Sentences of the records with the lowest hashes, none of them a message in form: what the model must not take for one."""
+    """Sentences of the long ones of the records with the lowest hashes, none of them a message in form: what the model must not take for one."""
     chosen = scrapes.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("bigint")).alias("h"), F.col(text_col).alias("t"))
-    rows = chosen.orderBy("h", "t").limit(TRAINING_RECORDS).collect()
-    lines = dict.fromkeys(line for r in rows for line, role in markdown_lines(r.t)[0] if role in (PLAIN, HEADING))
+    lowest = chosen.select("h").distinct().orderBy("h").limit(TRAINING_RECORDS).collect()  # hashes first: texts go nowhere but those
+    if not lowest:
+        return []
+    rows = chosen.where(F.col("h") <= lowest[-1].h).collect()
+    lines: dict[str, None] = {}
+    for r in sorted(rows):
+        own = [line for line, role in markdown_lines(r.t)[0] if role in (PLAIN, HEADING)]
+        if sum(map(word_count, own)) >= TRAINING_WORDS:
+            lines |= dict.fromkeys(own)
     plain = (_MARKS.sub("", line).strip() for line in lines if kind_of(line) == NOTHING)
     return sorted({x.strip(_BARE) for line in plain for x in _SENTENCE.split(line) if x.strip(_BARE)})
 
