@@ -42,8 +42,22 @@ _PLACEHOLDER = regex.compile(
     r"\{\{[^{}\n]+\}\}|\[\[[A-Za-z_][\w.]*\]\]|[#$]\{[\w .]+\}|%%[\w .]{2,}%%|<%=?[^%<>\n]+%>|\{%[^%{}\n]+%\}"
     r"|(?<![\w{$#f\"'])\{[A-Za-z_][\w.]+\}(?![\w}])|@@\w[\w.]+@@|(?<![\w_])__[A-Z][A-Z_.]+__(?![\w_])|\*\|\w[\w.: ]+\|\*"
     r"|\[(?:INSERT|YOUR|insert|your|Insert|Your)[ _][\w .]+\]|(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])|\[PLACEHOLDER\]"
-    r"|(?i:\b(?:dear|hello|hi|welcome|hallo|bonjour|hola|olá)),? (?:\[[A-Za-z_][\w ]*\](?![(\[:])|\$[A-Za-z_]\w*\b|<[A-Za-z_][\w ]*>)"
+    r"|\b(?:[Dd]ear|DEAR|[Hh]ello|HELLO|[Hh]i|HI|[Ww]elcome|WELCOME|[Hh]allo|[Bb]onjour|[Hh]ola|[Oo]lá),? (?:\[[A-Za-z_][\w ]*\](?![(\[:])|\$[A-Za-z_]\w*\b|<[A-Za-z_][\w ]*>)"
 )
+#: A name in brackets that is no link.
+_BRACKETED = re.compile(r"\[[A-Za-z_][\w .]*\](?![(\[:])")
+
+
+def maybe_placeholder(text: str) -> bool:
+    """What every placeholder has and most lines have not, by marks alone."""
+    return "{" in text or "%" in text or "@@" in text or "__" in text or "*|" in text or "$" in text or "<" in text or "[[" in text or ("[" in text and _BRACKETED.search(text) is not None)
+
+
+def has_placeholder(text: str) -> bool:
+    """Whether a field that nobody filled stands in a readable text."""
+    return maybe_placeholder(text) and _PLACEHOLDER.search(text) is not None
+
+
 #: Words of typing exercises and of the usual dummy text. Fixed values.
 _MASHED = frozenset("foo bar baz qux quux test tests asdf qwer qwerty zxcv xxxx xxx xx blah bla abc lorem ipsum aaa tbd todo hjkl".split())
 _LATIN = frozenset(
@@ -117,7 +131,7 @@ _KINDS = [(ERROR, _any(_ERROR_SENTENCES)), (SCRIPT, _any(_SCRIPT_SENTENCES)), (F
 _BARE = " \t*_`.!。！\"'“”«»|"
 _DUMMY = _MASHED | _LATIN
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-_SENTENCE = regex.compile(r"(?<=[.!?。！？…])(?:\s+|(?<=[。！？]))")
+_SENTENCE = re.compile(r"(?<=[.!?。！？…])(?:\s+|(?<=[。！？]))")
 _MARKS = regex.compile(r"^(?:\s*(?:[#>]+|[-*+•]|\d+[.)])\s+|\s*[*_]+(?=\S))+")
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]{1,3}|[\p{L}\p{N}][\p{L}\p{N}\p{M}'’]*")
 _LINK_ONLY = regex.compile(r"^\s*(?:[-*+]\s+|\d+[.)]\s+)?(?:\[[^\]\n]*\]\([^)\n]*\)[\s|·,/-]*)+$")
@@ -141,11 +155,9 @@ def kind_of(line: str, messages: Messages | None = None) -> int:
         return NOTHING
     if _is_filler(text):
         return FILLER
-    found, at = set(), 0
-    while at < len(text):
-        end = _SENTENCE.search(text, at + 1)
-        bare = text[at : end.start() if end else len(text)].strip(_BARE)
-        at = end.end() if end and end.end() > at else len(text)
+    found = set()
+    for bare in _SENTENCE.split(text):
+        bare = bare.strip(_BARE)
         if not bare:
             continue
         kind = messages.kind(bare) if messages else NOTHING
@@ -196,7 +208,7 @@ def markdown_lines(text: str) -> tuple[list[tuple[str, int]], bool]:
         if fence:
             out.append((line, CODE))
             continue
-        if not bad and _PLACEHOLDER.search(_TICKS.sub(" ", line)):
+        if not bad and maybe_placeholder(line) and has_placeholder(_TICKS.sub(" ", line)):
             bad = True
         role = HEADING if line.lstrip().startswith("#") else LINK if _LINK_ONLY.match(line) or line.lstrip().startswith("|") else PLAIN
         out.append((line.strip(), role))
@@ -238,7 +250,7 @@ def html_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
             text = html[at : m.start()]
             if not text.isspace():
                 text = unescape(text) if "&" in text else text
-                if not code and not bad and _PLACEHOLDER.search(text):
+                if not code and not bad and has_placeholder(text):
                     bad = True
                 buffer.append(text)
                 if link:
@@ -269,7 +281,7 @@ def html_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
             pass
     rest = html[at:].strip()
     if rest:
-        bad = bad or (not code and _PLACEHOLDER.search(rest) is not None)
+        bad = bad or (not code and has_placeholder(rest))
         buffer.append(unescape(rest))
         plain = True
     flush()
@@ -292,7 +304,7 @@ def _read(df: DataFrame, name: str, id_col: str, url_col: str, text_col: str, ti
             cols: list[list] = [[] for _ in range(6)]
             for text, head in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 parts, bad = html_lines(text) if html else markdown_lines(text)
-                bad = bad or (head is not None and _PLACEHOLDER.search(_TICKS.sub(" ", head)) is not None)
+                bad = bad or (head is not None and has_placeholder(_TICKS.sub(" ", head)))
                 facts = [lines.of(line, role) for line, role in parts]
                 for c, v in zip(cols, (bad, any(k in (ERROR, SCRIPT, FILLER) for k, _, _ in facts), [k for _, _, k in facts], [k for k, _, _ in facts], [w for _, w, _ in facts], [r for _, r in parts])):
                     c.append(v)
