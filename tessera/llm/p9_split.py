@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import TOKENIZER_FILE, Encoder, encoder
+from tessera.llm.common import if_small
 from tessera.session import settle
 
 #: Code points of one range of a long text, and of the halo that its neighbours share with it.
@@ -105,81 +104,129 @@ def inner_ends(word: str, ids: tuple[int, ...], pieces: dict[int, bytes]) -> lis
     return out
 
 
-def choose_cuts(places: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces as (start, end) code point offsets, each within ``limit`` tokens of the text's own encoding.
+class Cutter:
+    """Cuts one text that comes in ranges, in order; holds the piece it is at and one range, whatever the text's length.
 
-    The next piece starts at the last boundary that leaves at least ``overlap`` shared tokens, but always after
-    the start of the piece before it, and always so that it ends after it.
+    Each piece ends at the strongest boundary that leaves it at least half full, within the limit by its own count; the
+    next one starts at the last boundary that leaves at least ``overlap`` tokens shared, but after the start of the
+    piece before, and so that it ends after it. A piece that has more tokens by itself than in the whole text (a word
+    was cut inside) is cut again with a limit lower by the excess.
     """
-    pieces, first, last = [], 0, len(places) - 1
-    spots = [np.flatnonzero(kinds >= k).tolist() for k in range(PARAGRAPH + 1)]
-    places, tokens = places.tolist(), tokens.tolist()
-    while True:
-        end = bisect_right(tokens, tokens[first] + limit) - 1
-        if end >= last:
-            pieces.append((int(places[first]), int(places[last])))
-            return pieces
-        end = max(end, first + 1)  # a single character of more tokens than the limit can't be cut
-        # enough that the next piece, which repeats the overlap, still goes forward
-        least = max(first + 1, bisect_left(tokens, tokens[first] + max(int(limit * LEAST_FILL), overlap + 1)))
-        cut = end
-        for k in range(PARAGRAPH, ANY, -1):
-            at = bisect_right(spots[k], end) - 1
-            if at >= 0 and spots[k][at] >= least:
-                cut = int(spots[k][at])
-                break
-        pieces.append((int(places[first]), int(places[cut])))
-        back = bisect_right(tokens, tokens[cut] - overlap) - 1 if overlap > 0 else cut
-        first = min(max(back, first + 1), cut)
-
-
-def _sizes(text: str, cuts: list[tuple[int, int]], table: tuple, words: Encoder) -> list[int]:
-    """Tokens of each piece encoded by itself.
-
-    A piece between two word ends has the words of the whole text, but for white space at its end, whose words
-    join; a piece that begins or ends inside a word is encoded again.
-    """
-    places, tokens, _, inside = table
-    out = []
-    for a, b in cuts:
-        i, j = int(np.searchsorted(places, a)), int(np.searchsorted(places, b))
-        piece = text[a:b]
-        bare = a + len(piece.rstrip())
-        if inside[i] or inside[j]:
-            out.append(words.count(piece))
-        elif bare == b:
-            out.append(int(tokens[j] - tokens[i]))
-        else:
-            k = int(np.searchsorted(places, max(bare, a)))
-            if places[k] == bare:
-                out.append(int(tokens[k] - tokens[i]) + words.count(text[bare:b]))
+
+    def __init__(self, limit: int, overlap: int, words: Encoder) -> None:
+        self.limit, self.overlap, self.words = limit, max(0, min(overlap, limit - 1)), words
+        self.text, self.base = "", 0
+        self.places, self.tokens = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.kinds, self.inside = np.zeros(1, dtype=np.int8), np.zeros(1, dtype=bool)
+        self.first, self.end, self.done = 0, 0, False
+
+    def feed(self, text: str, table: tuple, final: bool) -> list[tuple[int, int, int, int, str]]:
+        """The pieces (start, end, n_tokens, shared, piece) that end in this range; after the last one all of them have come.
+
+        ``table`` is the range's :func:`boundary_table`, with places relative to the range.
+        """
+        places, tokens, kinds, inside = table
+        at = self.base + len(self.text)
+        self.places = np.concatenate([self.places[:-1], places + at])
+        self.tokens = np.concatenate([self.tokens[:-1], tokens + self.tokens[-1]])
+        self.kinds, self.inside = np.concatenate([self.kinds[:-1], kinds]), np.concatenate([self.inside[:-1], inside])
+        self.text += text
+        if final and not self.end and self.tokens[-1] <= self.limit:
+            return []  # the text is within its limit
+        out = []
+        while not self.done and (cut := self._next(final)) is not None:
+            first, place, size = cut
+            a, b = int(self.places[first]), int(self.places[place])
+            out.append((a, b, size, max(0, self.end - a), self.text[a - self.base : b - self.base]))
+            self.end, self.done = b, place == len(self.places) - 1 and final
+            back = int(np.searchsorted(self.tokens, self.tokens[place] - self.overlap, side="right")) - 1 if self.overlap else place
+            self.first = min(max(back, first + 1), place)
+        self._forget()
+        return out
+
+    def _next(self, final: bool) -> tuple[int, int, int] | None:
+        """(first, cut, n_tokens) of the next piece, which ends after the one before; None if more of the text is needed."""
+        first = self.first
+        while True:
+            found = self._cut(first, final)
+            if found is None or self.places[found[0]] > self.end or found[0] == len(self.places) - 1:
+                return found and (first, *found)
+            first += 1  # less overlap than asked for
+
+    def _cut(self, first: int, final: bool) -> tuple[int, int] | None:
+        last, limit = len(self.places) - 1, self.limit
+        while True:
+            end = int(np.searchsorted(self.tokens, self.tokens[first] + limit, side="right")) - 1
+            if end >= last:
+                if not final:
+                    return None
+                cut = last
             else:
-                out.append(words.count(piece))
-    return out
+                end = max(end, first + 1)  # a single character of more tokens than the limit can't be cut
+                # enough that the next piece, which repeats the overlap, still goes forward
+                enough = max(int(limit * LEAST_FILL), min(self.overlap, limit - 1) + 1)
+                least = max(first + 1, int(np.searchsorted(self.tokens, self.tokens[first] + enough)))
+                cut = end
+                if least <= end:
+                    window = self.kinds[least : end + 1]
+                    top = window.max()
+                    if top > ANY:
+                        cut = least + int(np.flatnonzero(window == top)[-1])
+            size = self._size(first, cut)
+            if size <= self.limit or limit <= 1 or self.places[cut] - self.places[first] <= 1:
+                return cut, size
+            limit = max(1, limit - (size - self.limit))
+
+    def _size(self, i: int, j: int) -> int:
+        """Tokens of a piece encoded by itself.
+
+        A piece between two word ends has the words of the whole text, but for white space at its end, whose words
+        join; a piece that begins or ends inside a word is encoded again.
+        """
+        a, b = int(self.places[i]), int(self.places[j])
+        piece = self.text[a - self.base : b - self.base]
+        if self.inside[i] or self.inside[j]:
+            return self.words.count(piece)
+        bare = len(piece.rstrip())
+        if bare == len(piece):
+            return int(self.tokens[j] - self.tokens[i])
+        k = int(np.searchsorted(self.places, a + bare))
+        if self.places[k] == a + bare:
+            return int(self.tokens[k] - self.tokens[i]) + self.words.count(piece[bare:])
+        return self.words.count(piece)
+
+    def _forget(self) -> None:
+        k = self.first
+        if k:
+            start = int(self.places[k])
+            self.text, self.base = self.text[start - self.base :], start
+            self.places, self.tokens, self.kinds, self.inside = self.places[k:], self.tokens[k:], self.kinds[k:], self.inside[k:]
+            self.first = 0
 
 
-def _pieces_of(text: str, limit: int, overlap: int, words: Encoder, table: tuple) -> list[tuple[int, int, int, int]]:
-    """(start, end, n_tokens, shared) of each piece of a whole text; n_tokens is the piece's own count.
+_PIECE = "doc_id bigint, source string, piece_no int, start_char bigint, end_char bigint, n_tokens int, shared_chars int, piece string"
+_PIECE_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
+_PIECE_KINDS = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+#: Characters of pieces or ranges in one batch that goes back to Spark.
+BATCH_CHARS = 4_000_000
 
-    Where a piece encoded by itself has more tokens than the limit (a word was cut inside), the cuts are made again
-    with a limit that is lower by the excess.
-    """
-    lower = limit
-    while True:
-        cuts = choose_cuts(*table[:3], lower, min(overlap, max(0, lower - 1)))
-        sizes = _sizes(text, cuts, table, words)
-        excess = max((n for n, (a, b) in zip(sizes, cuts) if b - a > 1), default=0) - limit
-        if excess <= 0 or lower <= 1:
-            break
-        lower = max(1, lower - excess)
-    out, before = [], 0
-    for (a, b), n in zip(cuts, sizes):
-        out.append((a, b, n, max(0, before - a)))
-        before = b
-    return out
 
+class _Batches:
+    """Rows gathered to Arrow batches of about ``BATCH_CHARS`` characters."""
 
-_PIECE = "doc_id bigint, source string, piece_no int, start_char bigint, end_char bigint, n_tokens int, shared_chars int, piece string"
+    def __init__(self, names: list[str], kinds: list[pa.DataType]) -> None:
+        self.names, self.kinds, self.rows, self.chars = names, kinds, [], 0
+
+    def add(self, row: tuple, chars: int) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        self.chars += chars
+        if self.chars >= BATCH_CHARS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows), self.kinds)], names=self.names)
+            self.rows, self.chars = [], 0
 
 
 def split_oversized(documents: DataFrame, limits: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -189,115 +236,94 @@ def split_oversized(documents: DataFrame, limits: DataFrame, *, id_col: str = "d
     Columns: ``doc_id, source, piece_no`` (from 1), ``start_char, end_char`` (code points, end excluded),
     ``n_tokens`` (of the piece encoded by itself), ``shared_chars`` (its overlap with the piece before),
     ``piece``. Texts within their limit, null and empty texts, null sources and sources without a positive limit
-    give nothing. A source listed twice has its lowest limit. A text up to ``range_chars`` that is delivered twice
-    gives its pieces twice, a longer one once; ids are unique in a table of texts.
+    give nothing. A source listed twice has its lowest limit. A row delivered twice gives its pieces twice.
 
-    Texts up to ``range_chars`` are cut by the worker that reads them. Longer ones are exploded into ranges with
-    halos: each range is counted by itself from its first to its last safe place, the boundary tables are stitched
-    and prefix-summed per text, and the pieces are put together again from the ranges they touch, by offset.
+    All texts are cut by the same rule (:class:`Cutter`), so ``range_chars`` and ``halo_chars`` change no piece. Texts
+    up to ``range_chars`` are one range and cut by the worker that reads them. Longer ones go on as ranges with halos,
+    sliced in one pass; each range is encoded by itself from its first to its last safe place (a halo without one is
+    widened), and the boundary tables are stitched, summed and cut in order by a worker that holds one range at a time.
     """
     rules = limits.where("source is not null and max_tokens > 0").groupBy("source").agg(
         F.min(F.col("max_tokens").cast("int")).alias("max_tokens"), F.coalesce(F.max(F.col("overlap_tokens").cast("int")), F.lit(0)).alias("overlap_tokens"))
     texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     # every token has at least one byte: shorter texts are within the limit without counting
-    texts = texts.join(rules, "source").where(F.octet_length("text") > F.col("max_tokens"))
+    texts = texts.join(if_small(settle(rules)), "source").where(F.octet_length("text") > F.col("max_tokens")).select("doc_id", "source", "text", "max_tokens", "overlap_tokens")
     small = texts.where(F.char_length("text") <= range_chars)
-    long = texts.where(F.char_length("text") > range_chars).dropDuplicates(["doc_id"])
+    long = texts.where(F.char_length("text") > range_chars)
     return _split_small(small, tokenizer).unionByName(_split_long(long, tokenizer, range_chars, halo_chars))
 
 
 def _split_small(texts: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        names = [x.split()[0] for x in _PIECE.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        out = _Batches(_PIECE_NAMES, _PIECE_KINDS)
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
             for doc, source, text, limit, overlap in zip(*(c.to_pylist() for c in batch.columns)):
                 known = encoded(text, words)
                 if sum(map(len, known[1])) <= limit:
                     continue
-                table = boundary_table(text, words, known)
-                for no, (a, b, n, shared) in enumerate(_pieces_of(text, limit, max(0, overlap), words, table), 1):
-                    for column, value in zip(rows, (doc, source, no, a, b, n, shared, text[a:b])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
+                pieces = Cutter(limit, overlap, words).feed(text, boundary_table(text, words, known), final=True)
+                for no, (a, b, n, shared, piece) in enumerate(pieces, 1):
+                    yield from out.add((doc, source, no, a, b, n, shared, piece), len(piece))
+        yield from out.flush()
 
-    return texts.select("doc_id", "source", "text", "max_tokens", "overlap_tokens").mapInArrow(run, _PIECE)
+    return texts.mapInArrow(run, _PIECE)
 
 
 def _split_long(texts: DataFrame, tokenizer: str, size: int, halo: int) -> DataFrame:
     """Range by range; see :func:`split_oversized`."""
-    length = F.char_length("text")
-    ranges = texts.withColumn("n_ranges", F.ceil(length / F.lit(size)).cast("int")).withColumn("range_no", F.explode(F.sequence(F.lit(0), F.col("n_ranges") - 1)))
-    begin = F.greatest(F.col("range_no").cast("bigint") * size - halo, F.lit(0))
-    chunk = F.substring("text", (begin + 1).cast("int"), ((F.col("range_no") + 1).cast("bigint") * size + halo - begin).cast("int"))
-    ranges = ranges.select("doc_id", "source", "max_tokens", "overlap_tokens", "n_ranges", "range_no", begin.cast("bigint").alias("begin"), chunk.alias("chunk"))
-    ranges = ranges.repartition("doc_id", "range_no")
+    head = "row bigint, doc_id bigint, source string, max_tokens int, overlap_tokens int, range_no int, final boolean"
+    head_kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    head_names = [x.split()[0] for x in head.split(", ")]
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every range with its halos; a halo without a safe place is widened until it has one or the text ends."""
+        out = _Batches([*head_names, "left", "chunk"], [*head_kinds, pa.int32(), pa.string()])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row, doc, source, text, limit, overlap = (c[k].as_py() for c in batch.columns)
+                n = -(-len(text) // size)
+                for no in range(n):
+                    begin, end = max(0, no * size - halo), min(len(text), (no + 1) * size)
+                    upto, wide = min(len(text), end + halo), halo
+                    while upto < len(text) and not _SYNC.search(text, end, upto):
+                        wide *= 2
+                        upto = min(len(text), end + wide)
+                    yield from out.add((row, doc, source, limit, overlap, no, no == n - 1, no * size - begin, text[begin : min(len(text), upto + halo)]), upto - begin + halo)
+        yield from out.flush()
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text of a range between its first and its last safe place, and its boundary table."""
         words = encoder(tokenizer)
+        out = _Batches([*head_names, "text", "places", "tokens", "kinds", "inside"], [*head_kinds, pa.string(), *[pa.binary()] * 4])
         for batch in batches:
-            rows: list[list] = [[] for _ in range(4)]
-            for no, n, begin, chunk in zip(*(batch.column(c).to_pylist() for c in ("range_no", "n_ranges", "begin", "chunk"))):
-                a, b = no * size - begin, (no + 1) * size - begin
-                first = 0 if no == 0 else next((m.start() for m in _SYNC.finditer(chunk, a, min(a + halo, len(chunk)))), None)
-                last = len(chunk) if no == n - 1 else next((m.start() for m in _SYNC.finditer(chunk, b, len(chunk))), None)
-                if first is None or last is None:
-                    for column in rows:  # no safe place in the halo: the text is cut as one, see below
-                        column.append(None)
-                    continue
-                places, tokens, kinds, _ = boundary_table(chunk[first:last], words, around=(chunk, first))
-                for column, value in zip(rows, (places + begin + first, tokens, kinds.astype(np.int32))):
-                    column.append(value)
-                rows[3].append(int(tokens[-1]))
-            arrays = [pa.array(r, k) for r, k in zip(rows, (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()))]
-            keep = [batch.column(c) for c in ("doc_id", "max_tokens", "overlap_tokens", "range_no")]
-            yield pa.RecordBatch.from_arrays(keep + arrays, names=["doc_id", "max_tokens", "overlap_tokens", "range_no", "places", "tokens", "kinds", "n_tokens"])
-
-    table = ranges.mapInArrow(tables, "doc_id bigint, max_tokens int, overlap_tokens int, range_no int, places array<bigint>, tokens array<bigint>, kinds array<int>, n_tokens bigint")
-
-    def stitch(parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("range_no")
-        doc = int(parts["doc_id"].iloc[0])
-        if parts["n_tokens"].isna().any():
-            return pd.DataFrame({"doc_id": [doc], "piece_no": [0], "start_char": [0], "end_char": [0], "shared_chars": [0]})
-        before = parts["n_tokens"].cumsum() - parts["n_tokens"]
-        # the last place of a range is the first one of the next, which knows the places after it
-        upto = [len(p) - int(k < len(parts) - 1) for k, p in enumerate(parts["places"])]
-        places = np.concatenate([np.asarray(p)[:n] for n, p in zip(upto, parts["places"])])
-        tokens = np.concatenate([(np.asarray(t) + int(s))[:n] for n, t, s in zip(upto, parts["tokens"], before)])
-        kinds = np.concatenate([np.asarray(t)[:n] for n, t in zip(upto, parts["kinds"])])
-        limit, overlap = int(parts["max_tokens"].iloc[0]), max(0, int(parts["overlap_tokens"].iloc[0]))
-        if tokens[-1] <= limit:
-            return pd.DataFrame({"doc_id": [], "piece_no": [], "start_char": [], "end_char": [], "shared_chars": []})
-        cuts = choose_cuts(places, tokens, kinds, limit, min(overlap, limit - 1))
-        ends = [0] + [b for _, b in cuts[:-1]]
-        return pd.DataFrame({"doc_id": doc, "piece_no": range(1, len(cuts) + 1), "start_char": [a for a, _ in cuts], "end_char": [b for _, b in cuts],
-                             "shared_chars": [max(0, e - a) for e, (a, _) in zip(ends, cuts)]})
-
-    cuts = settle(table.groupBy("doc_id").applyInPandas(stitch, "doc_id bigint, piece_no int, start_char bigint, end_char bigint, shared_chars int"))
-    touched = F.sequence((F.col("start_char") / size).cast("int"), ((F.col("end_char") - 1) / size).cast("int"))
-    wanted = cuts.where("piece_no > 0").withColumn("range_no", F.explode(touched))
-    own = F.substring("chunk", (F.col("range_no").cast("bigint") * size - F.col("begin") + 1).cast("int"), size)
-    parts = wanted.join(ranges.select("doc_id", "range_no", own.alias("own")), ["doc_id", "range_no"])
-    low = F.greatest(F.col("start_char") - F.col("range_no").cast("bigint") * size, F.lit(0))
-    high = F.least(F.col("end_char") - F.col("range_no").cast("bigint") * size, F.lit(size))
-    parts = parts.withColumn("part", F.substring("own", (low + 1).cast("int"), (high - low).cast("int")))
-    whole = parts.groupBy("doc_id", "piece_no", "start_char", "end_char", "shared_chars").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "part"))), lambda x: x["part"]), "").alias("piece"))
-    rules = texts.select("doc_id", "source", "max_tokens", "overlap_tokens")
-    whole = whole.join(rules, "doc_id")
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k in range(batch.num_rows):
+                *keys, no, final, left, chunk = (c[k].as_py() for c in batch.columns)
+                safe = lambda at: next((m.start() for m in _SYNC.finditer(chunk, at)), len(chunk))  # noqa: B023, E731
+                first = 0 if no == 0 else safe(left)
+                last = len(chunk) if final else max(first, safe(left + size))
+                text = chunk[first:last]
+                table = boundary_table(text, words, around=(chunk, first))
+                arrays = (table[0].astype("<i8"), table[1].astype("<i8"), table[2].astype("i1"), table[3].astype("i1"))
+                yield from out.add((*keys, no, final, text, *(x.tobytes() for x in arrays)), 20 * len(table[0]) + len(text))
+        yield from out.flush()
+
+    def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranges sorted by row and number to pieces; state: the text that is being cut."""
         words = encoder(tokenizer)
+        out = _Batches(_PIECE_NAMES, _PIECE_KINDS)
+        at, cutter, count = None, None, 0
         for batch in batches:
-            sizes = [words.count(t) for t in batch.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32())], names=[*batch.schema.names, "n_tokens"])
-
-    columns = "doc_id bigint, source string, piece_no int, start_char bigint, end_char bigint, shared_chars int, piece string, max_tokens int"
-    whole = whole.select("doc_id", "source", "piece_no", "start_char", "end_char", "shared_chars", "piece", "max_tokens").mapInArrow(checked, columns + ", n_tokens int")
-    whole = settle(whole)
-    # texts that had no safe place in some halo, or whose first cut word made a piece too large, are cut as one
-    over = whole.where("n_tokens > max_tokens").select("doc_id").unionByName(cuts.where("piece_no = 0").select("doc_id")).distinct()
-    fine = whole.join(over, "doc_id", "left_anti").select("doc_id", "source", "piece_no", "start_char", "end_char", "n_tokens", "shared_chars", "piece")
-    return fine.unionByName(_split_small(texts.join(over, "doc_id", "left_semi"), tokenizer))
+            for k in range(batch.num_rows):
+                row, doc, source, limit, overlap, _, final, text, *table = (c[k].as_py() for c in batch.columns)
+                if row != at:
+                    at, cutter, count = row, Cutter(limit, overlap, words), 0
+                table = tuple(np.frombuffer(x, dtype=t) for x, t in zip(table, ("<i8", "<i8", "i1", "?")))
+                for count, (a, b, n, shared, piece) in enumerate(cutter.feed(text, table, final), count + 1):
+                    yield from out.add((doc, source, count, a, b, n, shared, piece), len(piece))
+        yield from out.flush()
+
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text", "max_tokens", "overlap_tokens")
+    ranges = rows.mapInArrow(slices, f"{head}, left int, chunk string").repartition("row", "range_no")
+    known = ranges.mapInArrow(tables, f"{head}, text string, places binary, tokens binary, kinds binary, inside binary")
+    return known.repartition("row").sortWithinPartitions("row", "range_no").mapInArrow(stitched, _PIECE)

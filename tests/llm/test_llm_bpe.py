@@ -141,3 +141,23 @@ def test_ranges_cut_where_the_whole_text_is_cut(spark):
     limits = spark.createDataFrame([("s", 14, 3)], "source string, max_tokens int, overlap_tokens int")
     cut = lambda size: sorted((r.doc_id, r.piece_no, r.start_char, r.end_char) for r in p9_split.split_oversized(docs, limits, range_chars=size, halo_chars=80).collect())
     assert cut(150) == cut(1_000_000)
+
+
+def test_every_length_has_one_rule(spark):
+    rows = [(k, t, "s" if k % 2 else "r", 0, "i") for k, t in enumerate(_texts())]
+    docs = spark.createDataFrame(rows + rows[3:5], DOCS)
+    limits = spark.createDataFrame([("s", 48, 8), ("r", 64, 0)], "source string, max_tokens int, overlap_tokens int")
+    whole, ranges = (sorted(map(tuple, p9_split.split_oversized(docs, limits, range_chars=size, halo_chars=halo).collect())) for size, halo in ((1 << 30, 2_048), (300, 60)))
+    assert whole == ranges
+    assert all(whole.count(r) == (2 if r[0] in (3, 4) else 1) for r in whole)  # a row delivered twice
+
+
+def test_a_cutter_holds_one_range(spark):
+    words = encoder()
+    text = "The harbour office counts the boats. " * 4_000
+    cutter, most, pieces = p9_split.Cutter(60, 10, words), 0, []
+    for start in range(0, len(text), 370):
+        part = text[start : start + 370]
+        pieces += cutter.feed(part, p9_split.boundary_table(part, words), start + 370 >= len(text))
+        most = max(most, len(cutter.text))
+    assert pieces[-1][1] == len(text) and most < 1_000
