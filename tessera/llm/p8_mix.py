@@ -26,14 +26,17 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, source_col: str, tok
     return source.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
 
-def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, exact: bool = False) -> DataFrame:
     """Each source's budget: ``(source, target_share, share, max_repeats, pool_tokens, budget)``.
 
     ``share`` is the target share among the sources that can give anything at all (a target source without
-    tokens, with a null or non-positive share, or no allowed repeat, cannot be met and has budget 0). Without
-    ``total_tokens`` the total is the largest at which every such source still reaches its share within its
-    repeats; with it, a source that cannot fill its share is cut at ``max_repeats`` times its size.
+    tokens, with a null or non-positive share, or no allowed repeat, cannot be met and has budget 0). The total is
+    ``total_tokens``, or as many tokens as all of ``sizes`` have; a source that cannot fill its share of it gives
+    ``max_repeats`` times its size and stays below its target. With ``exact`` the total is instead the largest at
+    which every such source still reaches its share within its repeats, so the poorest source decides.
     """
+    if total_tokens is None and not exact:
+        total_tokens = sizes.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     pools = sizes.groupBy("source").agg(F.sum("n_tokens").alias("pool_tokens"))
     wanted = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
     wanted = wanted.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -42,7 +45,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     every = Window.partitionBy(F.lit(1))  # one row per target source: a table that does not grow
     joined = joined.withColumn("share", F.when(usable, F.col("target_share"))).withColumn("share", F.coalesce(F.col("share") / F.sum("share").over(every), F.lit(0.0)))
     reach = F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("pool_tokens") / F.col("share"))).over(every)
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(reach, F.lit(0.0))
+    total = F.coalesce(reach, F.lit(0.0)) if exact else F.lit(float(total_tokens))
     budget = F.least(F.floor(total * F.col("share") + 1e-6), F.col("max_repeats") * F.col("pool_tokens"))
     return joined.withColumn("budget", F.coalesce(budget, F.lit(0)).cast("bigint"))
 
@@ -57,19 +60,20 @@ def _running(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        total_tokens: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER_FILE) -> DataFrame:
+        total_tokens: int | None = None, exact: bool = False, seed: int = 0, tokenizer: str = TOKENIZER_FILE) -> DataFrame:
     """The chosen records ``(source, epoch, doc_id, n_tokens, used_tokens, start_token)``.
 
     Each document has a hash-random key; documents are range-sorted by (source, key), so a source that holds a
     third of all rows is spread over many partitions. Distributed prefix sums place every document on its
     source's line of tokens; a source is cut exactly at its budget. A document that crosses the cut is used up
-    to it (``used_tokens`` < ``n_tokens``); budgets beyond one pass repeat the line (``epoch`` 1, 2, …).
+    to it (``used_tokens`` < ``n_tokens``); budgets beyond one pass repeat the line (``epoch`` 1, 2, …). The total is
+    that of the documents unless ``total_tokens`` or ``exact`` says otherwise, see :func:`budgets`.
     Rows with null source, sources that are no target and texts without tokens give nothing; documents delivered
     twice (equal id) count once; an empty table on either side gives an empty result.
     """
     sizes = token_counts(documents, id_col, text_col, source_col, tokenizer).where("n_tokens > 0 and source is not null").dropDuplicates(["doc_id"])
     sizes = settle(sizes)
-    plan = budgets(sizes, targets, total_tokens).where("budget > 0").select("source", "budget", "pool_tokens")
+    plan = budgets(sizes, targets, total_tokens, exact).where("budget > 0").select("source", "budget", "pool_tokens")
     keyed = sizes.join(plan.select("source"), "source", "left_semi").withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
     ranged = keyed.repartitionByRange("source", "key", "doc_id").sortWithinPartitions("source", "key", "doc_id")
     lines = ranged.select("doc_id", "source", "n_tokens").mapInPandas(_running, "doc_id bigint, source string, n_tokens bigint, local_end bigint")

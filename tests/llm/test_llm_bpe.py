@@ -60,7 +60,7 @@ def test_mix_reaches_its_shares(spark):
     rows = [(k, "w " * rng.randint(1, 40), "abc"[k % 3], None, None) for k in range(90)] + [(900, "only one", "small", None, None), (901, None, "a", None, None), (902, "", "a", None, None), (903, "x", None, None, None), (904, "x y", "untargeted", None, None)]
     docs = spark.createDataFrame(rows + rows[:5], DOCS)
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.15, 1), ("small", 0.05, 3), ("absent", 0.1, 5), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
-    mixed = p8_mix.mix(docs, targets)
+    mixed = p8_mix.mix(docs, targets, exact=True)
     got = {r.source: r for r in p8_mix.shares(mixed, targets).collect()}
     used = sum(r.used_tokens for r in got.values())
     sizes = {s: sum(encoder().count(r[1]) for r in rows if r[2] == s) for s in ("a", "b", "c", "small")}
@@ -73,11 +73,23 @@ def test_mix_reaches_its_shares(spark):
     pieces = sorted((r.source, r.start_token, r.used_tokens) for r in mixed.collect())
     for (s, a, n), (t, b, _) in zip(pieces, pieces[1:]):
         assert s != t or a + n == b  # the line of a source has no gap and no overlap
-    assert sorted(map(tuple, p8_mix.mix(docs, targets).collect())) == sorted(map(tuple, mixed.collect()))
+    assert sorted(map(tuple, p8_mix.mix(docs, targets, exact=True).collect())) == sorted(map(tuple, mixed.collect()))
     fixed = {r.source: r.used_tokens for r in p8_mix.shares(p8_mix.mix(docs, targets, total_tokens=100), targets).collect()}
     assert fixed["a"] == 50 and fixed["b"] == 30 and fixed["small"] == min(5, 3 * sizes["small"])
 
 
+def test_mix_takes_as_many_tokens_as_the_documents_have(spark):
+    rows = [(k, "w " * (1 + k % 7), "ab"[k % 2], None, None) for k in range(60)] + [(900, "only one", "small", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.7, 2), ("small", 0.1, 3)], "source string, target_share double, max_repeats int")
+    size = {s: sum(encoder().count(r[1]) for r in rows if r[2] == s) for s in ("a", "b", "small")}
+    total = sum(size.values())
+    got = {r.source: r for r in p8_mix.shares(p8_mix.mix(docs, targets), targets).collect()}
+    wanted = {"a": int(0.2 * total + 1e-6), "b": int(0.7 * total + 1e-6), "small": 3 * size["small"]}
+    assert {s: r.used_tokens for s, r in got.items()} == wanted
+    assert all(abs(r.actual_share - wanted[s] / sum(wanted.values())) < 1e-9 for s, r in got.items()) and got["b"].most_repeats == 2
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a", "s", None, None)], DOCS)
     targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
