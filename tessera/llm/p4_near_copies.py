@@ -34,8 +34,9 @@ MODULUS = (1 << 31) - 1
 #: Bins of the one-permutation sketch that texts are compared by at an anchor before they are compared exactly, and the
 #: standard deviations by which a pair at the wanted similarity may differ more than expected there (a loss of 3e-5).
 SKETCH_BINS, SKETCH_SIGMAS = 128, 4.0
-#: Members of one block of an anchor; anchors with more are cut into blocks and compared block by block.
-BLOCK = 512
+#: Members of an anchor up to which its pairs are written as they are. Those of anchors with more are cut into blocks of
+#: so many, and of every two blocks only the pairs with sketches alike are written.
+RUN, BLOCK = 64, 4_096
 #: So many bare ids may be broadcast (some 50 MB) to save a shuffle of the texts; more are joined by shuffle.
 IDS_BROADCAST = 2_000_000
 #: Texts whose words a worker holds at once.
@@ -214,7 +215,7 @@ def _alike(least: float) -> Column:
 def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, id) sorted by both to pairs of ids with the same anchor, (a, b, null).
 
-    The members of an anchor with more than ``BLOCK`` of them come out as (id, null, anchor) instead.
+    The members of an anchor with more than ``RUN`` of them come out as (id, null, anchor) instead.
     """
 
     def out(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray | None) -> pa.RecordBatch:
@@ -224,7 +225,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def met(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         lengths = np.diff(np.r_[starts, len(keys)])
-        hot = np.repeat(lengths > BLOCK, lengths)
+        hot = np.repeat(lengths > RUN, lengths)
         if hot.any():
             yield out(ids[hot], None, keys[hot])
             keys, ids = keys[~hot], ids[~hot]
@@ -256,7 +257,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if cut:
             yield from met(keys[:cut], ids[:cut])
         keys, ids = keys[cut:], ids[cut:]
-        if len(keys) > BLOCK:
+        if len(keys) > RUN:
             hot = keys[0]
             yield out(ids, None, keys)
             keys, ids = keys[:0], ids[:0]
@@ -264,30 +265,75 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from met(keys, ids)
 
 
-def _hot_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of the members (anchor, id) of hot anchors: every two blocks of an anchor meet in a task of their own."""
-    sizes = members.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
-    cut = cut.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id")
-    left, right = (cut.select("anchor", "low", "high", F.col("block").alias(x), F.col("id").alias(i)) for x, i in (("x", "a"), ("y", "b")))
-    across = (F.col("low") == F.col("high")) | (F.col("x") != F.col("y"))
-    return left.join(right, ["anchor", "low", "high"]).where((F.col("a") < F.col("b")) & across).select("a", "b")
+def _alike_in_blocks(least: float):
+    """Rows (anchor, low, high, block, id, s0…s3) sorted by the first three to the pairs (a, b) of two blocks, or of one, that are alike."""
+    rate = (1 - least) / 2
+    n = np.arange(SKETCH_BINS + 1)
+    most = n * rate + SKETCH_SIGMAS * np.sqrt(n * rate * (1 - rate)) + 1
+
+    def met(block: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        across = block[0] != block[-1]
+        cut = int(np.searchsorted(block, block[-1])) if across else 0
+        left, right = (slice(0, cut), slice(cut, None)) if across else (slice(None), slice(None))
+        a, b = ids[left], ids[right]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(0, len(a), 128):
+            x, y = marks[left][k : k + 128, None], marks[right][None]
+            both = x[..., :2] & y[..., :2]
+            differ = (x[..., 2:] ^ y[..., 2:]) & both
+            alike = np.bitwise_count(differ).sum(axis=2) <= most[np.bitwise_count(both).sum(axis=2)]
+            i, j = np.nonzero(alike & (True if across else a[k : k + 128, None] < b[None]))
+            out.append((a[k + i], b[j]))
+        first, second = (np.concatenate(z) for z in zip(*out))
+        return np.minimum(first, second), np.maximum(first, second)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: np.ndarray | None = None
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            rows = rows if rest is None else np.concatenate([rest, rows])
+            if not len(rows):
+                continue
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+            for start, end in zip(starts[:-1], starts[1:]):
+                yield pairs(rows[start:end])
+            rest = rows[starts[-1] :]  # the last blocks may go on
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.argsort(rows[:, 3], kind="stable")]
+        a, b = met(rows[:, 3], rows[:, 4], rows[:, 5:].view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _hot_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Pairs with sketches alike of the members (anchor, id) of hot anchors: every two blocks of an anchor meet in a task of their own."""
+    sizes = members.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
+    cut = members.join(sizes, "anchor").join(marks, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    cut = cut.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cut = cut.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id", *(f"s{k}" for k in range(4)))
+    return cut.repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high").mapInArrow(_alike_in_blocks(least), "a bigint, b bigint")
 
 
 def meeting_pairs(classes: DataFrame, least: float) -> DataFrame:
     """``(a, b)``, a < b: representatives that meet at an anchor and whose sketches are alike, each pair once.
 
-    Anchors are sorted once and read as runs. Those with more than ``BLOCK`` members are cut into blocks that meet
-    pairwise, so no task holds more than two blocks of an anchor, whatever part of all rows shares it.
+    Anchors are sorted once and read as runs. Those with more than ``RUN`` members are cut into blocks that meet
+    pairwise, so no task holds more than two blocks of an anchor, whatever part of all rows shares it, and only pairs
+    with sketches alike leave them.
     """
     reps = classes.where("scrape_id = rep")
     rows = reps.select("rep", "symbols").mapInArrow(_anchor_rows, "anchor bigint, id bigint")
     runs = rows.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_pairs_of_runs, "a bigint, b bigint, anchor bigint")
     runs = settle(runs.distinct())
-    met = runs.where("anchor is null").select("a", "b").unionByName(_hot_pairs(runs.where("anchor is not null").select("anchor", F.col("a").alias("id")))).distinct()
-    marks = {x: reps.select(F.col("rep").alias(i), *(F.col("sketch")[k].alias(f"{x}{k}") for k in range(4))) for x, i in (("l", "a"), ("r", "b"))}
-    return met.join(marks["l"], "a").join(marks["r"], "b").where(_alike(least)).select("a", "b")
+    met = runs.where("anchor is null").select("a", "b")
+    marks = {x: reps.select(F.col("rep").alias(i), *(F.col("sketch")[k].alias(f"{x}{k}") for k in range(4))) for x, i in (("l", "a"), ("r", "b"), ("s", "id"))}
+    alike = met.join(marks["l"], "a").join(marks["r"], "b").where(_alike(least)).select("a", "b")
+    hot = runs.where("anchor is not null").select("anchor", F.col("a").alias("id"))
+    return alike.unionByName(_hot_pairs(hot, marks["s"], least)).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,6 +86,7 @@ def test_code_words_of_fingerprints():
 
 
 def test_runs_across_batches_and_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(near, "RUN", 6)
     monkeypatch.setattr(near, "BLOCK", 6)
     keys = [1] * 5 + [2] + [3] * 15 + [4] * 2 + [5] * 7
     ids = list(range(len(keys)))
@@ -98,7 +99,8 @@ def test_runs_across_batches_and_hot_anchors(spark, monkeypatch):
         assert pairs == {p for _, m in small for p in itertools.combinations(m, 2)}
         assert hot == {(k, i) for i, k in zip(ids, keys) if k in (3, 5)}
     members = spark.createDataFrame([(k, i) for k, i in sorted(hot)], "anchor bigint, id bigint")
-    got = [(r.a, r.b) for r in near._hot_pairs(members).collect()]
+    marks = spark.createDataFrame([(i, -1, -1, 5, 5) for i in ids], "id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")  # all alike
+    got = [(r.a, r.b) for r in near._hot_pairs(members, marks, 0.6).collect()]
     wanted = [p for k in (3, 5) for p in itertools.combinations([i for i, x in zip(ids, keys) if x == k], 2)]
     assert sorted(got) == sorted(wanted)
 
@@ -108,3 +110,30 @@ def test_connected(spark):
     got = {r.id: r.group_id for r in connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert {k: got[k] for k in (1, 2, 3, 10, 15)} == {1: 1, 2: 1, 3: 1, 10: 10, 15: 10} and got[140] == 100 and 5 not in got
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_hot_anchors_give_the_same_pairs_and_no_others(spark, monkeypatch):
+    texts = _texts(40, seed=9)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(200)]
+    for k in range(90):  # one template with edits: every anchor of its symbols is hot
+        edited = list(base)
+        for _ in range(rng.randint(0, 12)):
+            edited[rng.randrange(200)] = f"x{rng.randrange(10_000)}"
+        texts.append((2_000 + k, " ".join(edited)))
+    df = spark.createDataFrame([(k, t, "r", 1, "s") for k, t in texts], SCHEMA)
+    classes = near.classes_of(df)
+    plain = {tuple(r) for r in near.meeting_pairs(classes, 0.6).collect()}
+    for run, block in ((1, 4_096), (4, 10)):
+        monkeypatch.setattr(near, "RUN", run)
+        monkeypatch.setattr(near, "BLOCK", block)
+        assert {tuple(r) for r in near._hot_pairs(*_hot(near, classes), 0.6).collect()} <= plain
+        assert {tuple(r) for r in near.meeting_pairs(classes, 0.6).collect()} == plain
+
+
+def _hot(near, classes):
+    from pyspark.sql import functions as F
+
+    reps = classes.where("scrape_id = rep")
+    rows = reps.select("rep", "symbols").mapInArrow(near._anchor_rows, "anchor bigint, id bigint")
+    return rows, reps.select(F.col("rep").alias("id"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(4)))
