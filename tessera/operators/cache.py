@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.evaluate import once
@@ -38,8 +38,10 @@ def _payload(variant: Column, value: Column) -> Column:
 
 def latest(cache: DataFrame) -> DataFrame:
     """One row per key: the last written, which is what an upsert leaves. Rows delivered twice count once."""
-    order = Window.partitionBy("cache_key").orderBy(F.col("created_at").desc(), F.col("expires_at").desc(), F.col("cache_value").desc())
-    return cache.where("cache_key is not null").withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    first = ["created_at", "expires_at", "cache_value"]
+    rest = [c for c in cache.columns if c not in first]
+    last = cache.where("cache_key is not null").groupBy(F.col("cache_key").alias("_key")).agg(F.max(F.struct(*first, *rest)).alias("_last"))
+    return last.select(*(F.col(f"_last.{c}").alias(c) for c in cache.columns))
 
 
 def upsert(cache: DataFrame, writes: DataFrame) -> DataFrame:
@@ -63,19 +65,39 @@ def purged(cache: DataFrame, now: int) -> DataFrame:
     return cache.agg(F.count_if(gone).alias("purged_rows"), F.count_if(~gone).alias("kept_rows"))
 
 
+def valid_rows(cache: DataFrame) -> DataFrame:
+    """``(_key, _from, _until, _hit)`` of the well-formed rows that ever were valid; of those written at once the longest valid."""
+    rows = cache.select(F.col("cache_key").alias("_key"), F.col("created_at").alias("_from"), F.col("expires_at").alias("_until"), "cache_value")
+    rows = with_payload(rows, name="_hit").drop("cache_value").where("_hit is not null and _until > _from")
+    best = rows.groupBy("_key", "_from").agg(F.max_by(F.struct("_until", "_hit"), "_until").alias("_v"))
+    return best.select("_key", "_from", F.col("_v._until").alias("_until"), F.col("_v._hit").alias("_hit"))
+
+
+def _valid_at(asked: str, at: str, fresh: Column) -> Column:
+    return (F.col(asked) == F.col("_key")) & (F.col("_from") <= F.col(at)) & (F.col("_until") > F.col(at)) & fresh
+
+
+def hits(requests: DataFrame, cache: DataFrame, id_col: str, *, url_col: str = "url", at_col: str = "arrival") -> DataFrame:
+    """``(id_col, _key, _from)`` of the requests that the cache answers: the key and time of the row written last by then.
+
+    No payload is carried: join :func:`valid_rows` by both columns for it. One row per id.
+    """
+    rows = valid_rows(cache).select("_key", "_from", "_until")
+    asked = once(requests.select(id_col, F.col(at_col).alias("_at"), url_col), _asked=scrape_key(F.col(url_col))).select(id_col, "_at", "_asked")
+    met = asked.join(rows, _valid_at("_asked", "_at", F.lit(True)))
+    return met.groupBy(id_col).agg(F.max(F.struct("_from", "_key")).alias("_v")).select(id_col, F.col("_v._key").alias("_key"), F.col("_v._from").alias("_from"))
+
+
 def lookup(requests: DataFrame, cache: DataFrame, *, url_col: str = "url", at_col: str = "arrival", refresh_col: str | None = None) -> DataFrame:
     """``requests`` with ``hit`` (the payload struct or null) and ``cached``.
 
     A hit has the key of the request's URL, was written by then, is not expired then and is well-formed; requests that
-    ask for a refresh never hit. An equality join on the key with the validity as residual: no task per key.
+    ask for a refresh never hit. An equality join on the key with the validity as residual: no task per key. Where
+    several rows of a key are valid at once the request comes with each; :func:`hits` takes the last.
     """
-    rows = cache.select(F.col("cache_key").alias("_key"), F.col("created_at").alias("_from"), F.col("expires_at").alias("_until"), "cache_value")
-    rows = with_payload(rows, name="_hit").drop("cache_value").where("_hit is not null and _until > _from")
-    best = rows.groupBy("_key", "_from").agg(F.max_by(F.struct("_until", "_hit"), "_until").alias("_v")).select("_key", "_from", F.col("_v._until").alias("_until"), F.col("_v._hit").alias("_hit"))
     asked = once(requests, _asked=scrape_key(F.col(url_col)))
     fresh = F.lit(True) if refresh_col is None else ~F.coalesce(F.col(refresh_col), F.lit(False))
-    on = (F.col("_asked") == F.col("_key")) & (F.col("_from") <= F.col(at_col)) & (F.col("_until") > F.col(at_col)) & fresh
-    joined = asked.join(best, on, "left")
+    joined = asked.join(valid_rows(cache), _valid_at("_asked", at_col, fresh), "left")
     return joined.withColumn("hit", F.col("_hit")).withColumn("cached", F.col("_hit").isNotNull()).drop("_asked", "_key", "_from", "_until", "_hit")
 
 

@@ -9,6 +9,7 @@ from tessera.functions import classify
 from tessera.functions.evaluate import once
 from tessera.functions.html import extract_pages
 from tessera.functions.urls import bare_host, is_ipv4, is_ipv6, is_private_address, normalize_url, url_error, url_host
+from tessera.operators.bounded import settled_keys, spread
 
 MOST_LINKS = 200
 
@@ -37,9 +38,15 @@ def queued_hops(chain: Column) -> Column:
 
 
 def latest_page(pages: DataFrame, by: str = "page_id") -> DataFrame:
-    """Rows delivered twice once: the last landed of each id."""
-    order = Window.partitionBy(by).orderBy(F.col("landed_at").desc_nulls_last())
-    return pages.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    """Rows delivered twice once: the last landed of each id, of those landed at once the one of the highest hash.
+
+    Which ids come more than once is found on the ids alone; only their rows are shuffled, all others stay where they
+    were read. Rows with a null id stay as they are.
+    """
+    again = settled_keys(pages.select(by).where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(by))
+    order = Window.partitionBy(by).orderBy(F.col("landed_at").desc_nulls_last(), F.xxhash64(*pages.columns).desc())
+    last = pages.join(again, by, "left_semi").withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
+    return spread(pages.join(again, by, "left_anti").unionByName(last.select(*pages.columns)).select(*pages.columns))
 
 
 def verdicts(pages: DataFrame, length_col: str | None = None) -> DataFrame:

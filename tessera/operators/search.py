@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.evaluate import once
 from tessera.functions.text import grouped_digits, strip_tags, truncate_markdown
 from tessera.functions.urls import dedupe_key, display_host, normalize_url
+from tessera.operators.bounded import settled_keys
+from tessera.session import settle
 
 #: Order in which providers are asked. Fixed values.
 PROVIDERS = ("searxng", "brave")
@@ -79,12 +81,14 @@ def with_content(results: DataFrame, payloads: DataFrame) -> DataFrame:
     """``results`` with ``content, truncated, remaining, error``: the first ``CONTENT_RESULTS`` ranks joined with pages.
 
     ``payloads`` has ``url, markdown, error``; several of one page count as the last by its text. A page that is
-    missing or failed gives an error, never a lost row.
+    missing or failed gives an error, never a lost row. Only the texts of pages among the results are shuffled.
     """
-    pages = once(payloads, _page=normalize_url(F.col("url"))).select("_page", F.struct(F.col("error").isNull().alias("ok"), "markdown", F.col("error").alias("e")).alias("_p"))
-    pages = pages.where("_page is not null").groupBy("_page").agg(F.max("_p").alias("_p"))
-    key = F.when(F.col("rank") <= CONTENT_RESULTS, normalize_url(F.col("url")))
-    joined = once(results, _key=key).join(pages, F.col("_key") == F.col("_page"), "left")
+    keyed = settle(once(results, _key=F.when(F.col("rank") <= CONTENT_RESULTS, normalize_url(F.col("url")))))
+    wanted = settled_keys(keyed.where("_key is not null").select(F.col("_key").alias("_page")).distinct())
+    pages = once(payloads, _page=normalize_url(F.col("url"))).join(wanted, "_page", "left_semi")
+    pages = pages.select("_page", F.struct(F.col("error").isNull().alias("ok"), "markdown", F.col("error").alias("e")).alias("_p"))
+    pages = pages.groupBy("_page").agg(F.max("_p").alias("_p"))
+    joined = keyed.join(pages, F.col("_key") == F.col("_page"), "left")
     cut = truncate_markdown(F.col("_p.markdown"), CONTENT_CHARS)
     asked, ok = F.col("rank") <= CONTENT_RESULTS, F.coalesce(F.col("_p.ok"), F.lit(False))
     out = once(joined, _cut=F.when(asked & ok, cut))

@@ -17,7 +17,7 @@ from tessera.sources.tables import table
 
 @dataclass
 class Engine:
-    """``Engine(spark, folder)``: every method returns a DataFrame and starts no job by itself."""
+    """``Engine(spark, folder)``: every method returns a DataFrame; some settle tables of keys on the way."""
 
     spark: SparkSession
     folder: str
