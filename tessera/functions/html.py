@@ -235,12 +235,16 @@ def strip_tracking_href(href: str) -> str:
     return path + ("?" + "&".join(kept) if kept else "") + mark + fragment
 
 
+#: White space of the web platform, which has no U+0085 and no U+001C to U+001F. Fixed values.
+_WEB_SPACE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def _meta(doc: Node, *names: str) -> str | None:
     metas = doc.all("meta")
     for name in names:
         for node in metas:
             if name in (node.attrs.get("property"), node.attrs.get("name")):
-                value = node.attrs.get("content", "").strip()
+                value = node.attrs.get("content", "").strip(_WEB_SPACE)
                 if value:
                     return value
                 break
@@ -515,7 +519,7 @@ def extract(html: str | None, url: str | None) -> dict:
     url = url or ""
     doc = parse_html(html)
     head_title = doc.find("title")
-    title = (head_title.text().strip() if head_title else "") or _meta(doc, "og:title", "twitter:title") or next((n.text().strip() for n in doc.all("h1")), "") or ""
+    title = (head_title.text().strip(_WEB_SPACE) if head_title else "") or _meta(doc, "og:title", "twitter:title") or next((n.text().strip(_WEB_SPACE) for n in doc.all("h1")), "") or ""
     description = _meta(doc, "og:description", "description", "twitter:description")
     meta = {
         "author": _meta(doc, "author", "article:author"), "published_at": _meta(doc, "article:published_time", "datePublished"),
@@ -533,7 +537,7 @@ def extract(html: str | None, url: str | None) -> dict:
         href = join_url(anchor.attrs.get("href", ""), base) if anchor.attrs.get("href") else None
         if href and re.match("https?:", href) and href not in seen:
             seen.add(href)
-            links.append({"href": href, "text": anchor.text().strip()[:LINK_TEXT]})
+            links.append({"href": href, "text": anchor.text().strip(_WEB_SPACE)[:LINK_TEXT]})
     for node in doc.all(*CODE_CHROME):
         if not CODE_CHROME[node.tag].isdisjoint(node.classes()):
             node.drop()

@@ -208,19 +208,51 @@ def live_walls(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(spark, "id int, html string", *((i, h) for i, h, _ in _LIVE)).select("id", classify.live_wall(F.col("html")).alias("live"))
 
 
-@_query(f"""select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, nullif(regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1), '') as lang,
-nullif(regexp_extract(html, '(?is)<meta name="description" content="([^"]*)"', 1), '') as description from {_PAGES}""")
-def page_heads(spark: SparkSession, folder: str) -> DataFrame:
-    h = F.col("html")
-    take = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
-    return _pages(spark, folder).select("page_id", F.trim(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), take(r'(?i)<html[^>]*\blang="([^"]*)"').alias("lang"), take(r'(?is)<meta name="description" content="([^"]*)"').alias("description"))
+_HEAD = lambda p: f"nullif({sql.trim_all(sql.visible(sql.unescaped(f'regexp_extract(html, {p}, 1)')))}, '')"
+
+
+@_query(f"""select page_id, coalesce({_HEAD("'(?is)<title[^>]*>(.*?)</title>'")}, {_HEAD("'(?is)<h1[^>]*>(.*?)</h1>'")}, '') as title, coalesce({_HEAD("'(?is)<meta property=.og:description. content=.([^\\x22]*)'")}, {_HEAD("'(?is)<meta name=.description. content=.([^\\x22]*)'")}) as description,
+case when regexp_matches(html, '(?i)<html[^>]*\\blang="') then regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1) end as lang from {_PAGES}""")
+def extracted_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """What the extractor takes from the head of every page."""
+    return extract_pages(_pages(spark, folder)).select("page_id", "doc.title", "doc.description", "doc.meta.lang")
+
+
+@_query(f"""select page_id, row_number() over (partition by page_id order by nth) - 1 as pos, href, text from (select page_id, href, min(nth) as nth, arg_min(text, nth) as text from (
+select page_id, nth, case when a[1] like '/%' then {sql.origin('url')} || a[1] else a[1] end as href, {sql.trim_all(sql.visible(sql.unescaped("regexp_replace(a[2], '<[^>]*>', '', 'g')")))}[:200] as text
+from (select page_id, url, unnest(range(len(l))) as nth, [unnest(l), unnest(t)] as a from (select page_id, url, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 1) as l, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 2) as t from {_PAGES}))) group by page_id, href)""")
+def extracted_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The links the extractor finds on every page: absolute, each once, in order, with their text."""
+    links = extract_pages(_pages(spark, folder)).select("page_id", F.posexplode("doc.links").alias("pos", "l"))
+    return links.select("page_id", F.col("pos").cast("bigint").alias("pos"), "l.href", "l.text")
+
+
+#: A page around the words of a title: what the extractor must keep, and what it must not.
+_COMPOSED = (
+    '<html lang="en"><head><title> ', "w", ' </title><meta property="og:description" content=" "><meta name="description" content="About ', "w", '"><meta name="author" content="', "w", '"></head><body><nav><a href="/menu">Menu</a></nav><article><h2>', "w", '<a href="#s1">¶</a></h2><p>Text of <strong>', "w",
+    '</strong> <img src="/i.png" alt="Photo"> and <a href="/p?utm_source=x&amp;id=7">more</a>.</p><img src="/no.png" alt=""><p>', "many", "</p><table><colgroup><col></colgroup><thead><tr><th>Name</th><th>Value</th></tr></thead><tbody><tr><td>", "w", "</td><td>7</td></tr></tbody></table><table><tr><td>layout ", "w",
+    '</td></tr></table><pre><code class="language-py">x = "```"</code></pre><ul><li>one</li><li>two</li></ul><aside>Ad</aside></article><footer>foot <a href="/menu">Menu again</a></footer></body></html>',
+)
+_MARKED = (
+    "## ", "w", "\n\nText of **", "w", "** изображение: Photo and [more](https://h.example/p?id=7).\n\n", "many", "\n\n| Name | Value |\n| --- | --- |\n| ", "w", " | 7 |\n\nlayout ", "w", '\n\n````py\nx = "```"\n````\n\n- one\n- two',
+)
+_MANY = "many more words of the same sort " * 12
+_WORDS_SQL = "coalesce(nullif(trim(regexp_replace(title, '[^A-Za-z]+', ' ', 'g')), ''), 'Untitled')"
+
+
+def _sql_text(parts: tuple[str, ...]) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return " || ".join("w" if p == "w" else quoted(_MANY.strip()) if p == "many" else quoted(p) for p in parts)
 
 
-@_query(f"""select page_id, min(pos) as pos, href from (select page_id, unnest(range(len(l))) as pos, unnest(l) as href from (select page_id, regexp_extract_all(html, '(?i)<a href="([^"]*)"', 1) as l from {_PAGES})) group by page_id, href""")
-def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit('(?i)<a href="([^"]*)"'), F.lit(1))
-    links = _pages(spark, folder).select("page_id", F.posexplode(found).alias("pos", "href"))
-    return links.groupBy("page_id", "href").agg(F.min("pos").cast("bigint").alias("pos"))
+@_query(f"select page_id, w as title, 'About ' || w as description, w as author, 'en' as lang, 'https://h.example/menu https://h.example/p?id=7' as links, {_sql_text(_MARKED)} as markdown from (select distinct page_id, {_WORDS_SQL} as w from extracted)")
+def composed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages composed around the words of every landed title, extracted: images, permalinks, tracking, tables, code, chrome."""
+    words = F.coalesce(F.nullif(F.trim(F.regexp_replace("title", "[^A-Za-z]+", " ")), F.lit("")), F.lit("Untitled"))
+    rows = table(spark, folder, "extracted").select("page_id", words.alias("w")).distinct()
+    html = F.concat(*(F.col("w") if p == "w" else F.lit(_MANY.strip() if p == "many" else p) for p in _COMPOSED))
+    docs = extract_pages(rows.select("page_id", F.lit("https://h.example/dir/page").alias("url"), html.alias("html")))
+    return docs.select("page_id", "doc.title", "doc.description", "doc.meta.author", "doc.meta.lang", F.array_join(F.transform("doc.links", lambda x: x["href"]), " ").alias("links"), "doc.markdown")
 
 
 @_query(f"""select case when grouping(host) = 0 then host end as host, case when grouping(via) = 0 then via end as via, grouping(host) + grouping(via) as level, count(*) as n_pages, sum(case when status >= 400 then 1 else 0 end) as n_errors

@@ -44,6 +44,32 @@ def normalised(u: str) -> str:
     return f"(case when {scheme(u)} in ('http', 'https') and {host(u)} is not null then {scheme(u)} || '://' || {host(u)} || {shown} || {path} || (case when {query} = '' then '' else '?' || {query} end) end)"
 
 
+def origin(u: str) -> str:
+    """Scheme, host and port of a web URL."""
+    port = f"regexp_extract({authority(u)}, ':([0-9]+)$', 1)"
+    shown = f"(case when {port} = '' or ({scheme(u)} = 'http' and {port} = '80') or ({scheme(u)} = 'https' and {port} = '443') then '' else ':' || {port} end)"
+    return f"({scheme(u)} || '://' || {host(u)} || {shown})"
+
+
+def visible(x: str) -> str:
+    return f"regexp_replace({x}, '[\\x{{ad}}\\x{{200b}}\\x{{2060}}\\x{{feff}}\\x{{e000}}-\\x{{f8ff}}]', '', 'g')"
+
+
+def unescaped(x: str) -> str:
+    """Numeric character references and those of the five marks as the characters they stand for."""
+    point = "try_cast(case when lower(r) like '&#x%' then '0x' || r[4:-2] else r[3:-2] end as int)"
+    found = f"list_distinct(regexp_extract_all({x}, '&#(?:[0-9]+|[xX][0-9a-fA-F]+);'))"
+    # as browsers read them, the numbers of control characters mean those of a Windows code page
+    numbers = f"list_reduce(list_prepend({x}, {found}), lambda t, r: replace(t, r, case when {point} between 128 and 159 then coalesce(map {{{', '.join(f'{k}: {chr(39)}{v}{chr(39)}' for k, v in _WINDOWS.items())}}}[{point}], chr({point})) else chr({point}) end))"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("amp", "&")):
+        numbers = f"replace({numbers}, '&{name};', '{char}')"
+    return numbers
+
+
+#: The characters of bytes 128 to 159 in that code page.
+_WINDOWS = {k: bytes([k]).decode("cp1252") for k in range(128, 160) if bytes([k]).decode("cp1252", "ignore")}
+
+
 def strip_tags(x: str) -> str:
     tags = "span|strong|b|em|i|mark|u|small|code|a|p|div|br|wbr|sup|sub|del|ins|font"
     names = sorted({t[: k + 1] for t in tags.split("|") for k in range(len(t))}, key=lambda t: (-len(t), t))
