@@ -7,6 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import running, segments
 from tessera.operators.sequential import fold
 
 MOST_AT_ONCE, LEAST_APART_MS = 2, 500
@@ -17,15 +18,12 @@ IDLE_MS, MOST_SESSIONS = 600_000, 5
 def spaced_starts(requests: DataFrame, apart_ms: int = LEAST_APART_MS) -> DataFrame:
     """``(request_id, host, arrival, start_at, waited)``: starts of one host at least ``apart_ms`` apart, in order of arrival.
 
-    The recurrence start = max(arrival, start before + apart) is a running maximum of ``arrival - k * apart``: a
-    window, no state. Rows without host or arrival queue nowhere; rows delivered twice count once.
+    The recurrence start = max(arrival, start before + apart) is a running value: no state and no task per host. Rows
+    without host or arrival queue nowhere; rows delivered twice count once.
     """
     rows = requests.select("request_id", "host", "arrival").where("host is not null and arrival is not null").distinct()
-    order = Window.partitionBy("host").orderBy("arrival", "request_id")
-    rows = rows.withColumn("_k", F.row_number().over(order).cast("bigint"))
-    peak = F.max(F.col("arrival") - F.col("_k") * apart_ms).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    start = peak + F.col("_k") * apart_ms
-    return rows.select("request_id", "host", "arrival", start.alias("start_at"), (start - F.col("arrival")).alias("waited"))
+    start = F.col("reached") - apart_ms
+    return running(rows, "host", ["arrival", "request_id"], F.col("arrival"), apart_ms).select("request_id", "host", "arrival", start.alias("start_at"), (start - F.col("arrival")).alias("waited"))
 
 
 def queue_step(state: dict, arrival: int, service: int, most: int, apart_ms: int) -> tuple[int, int]:
@@ -46,7 +44,8 @@ def queue_step(state: dict, arrival: int, service: int, most: int, apart_ms: int
 def queued_starts(requests: DataFrame, most: int = MOST_AT_ONCE, apart_ms: int = LEAST_APART_MS) -> DataFrame:
     """``(request_id, host, arrival, start_at, end_at)``: at most ``most`` requests of a host at once, first come first served.
 
-    Null and negative service times count as 0. A true recurrence: read as a stream per host.
+    Null and negative service times count as 0. A true recurrence: read as a stream, but cut where the queue is empty
+    for sure, which is when even one request at a time would be done with all before; so a host is many streams.
     """
     rows = requests.select("request_id", "host", "arrival", F.greatest(F.coalesce("service_ms", F.lit(0)), F.lit(0)).alias("service_ms"))
     rows = rows.where("host is not null and arrival is not null").distinct()
@@ -55,14 +54,25 @@ def queued_starts(requests: DataFrame, most: int = MOST_AT_ONCE, apart_ms: int =
         start, end = queue_step(state, int(event.arrival), int(event.service_ms), most, apart_ms)
         return [(event.request_id, event.host, int(event.arrival), start, end)]
 
-    return fold(rows, "host", ["arrival", "request_id"], lambda: {"busy": [], "last": None}, step, "request_id bigint, host string, arrival bigint, start_at bigint, end_at bigint")
+    served = running(rows, "host", ["arrival", "request_id"], F.col("arrival"), F.greatest(F.col("service_ms"), F.lit(apart_ms)))
+    idle = F.col("reached_before").isNull() | (F.col("reached_before") <= F.col("arrival"))
+    rows = segments(served, "host", ["arrival", "request_id"], idle)
+    return fold(rows, "segment", ["arrival", "request_id"], lambda: {"busy": [], "last": None}, step, "request_id bigint, host string, arrival bigint, start_at bigint, end_at bigint")
+
+
+def _after_gaps(rows: DataFrame, key: str, gap_ms: int) -> DataFrame:
+    """``rows`` with ``segment``: cut where the request before is at least ``gap_ms`` old."""
+    order = ["arrival", "request_id"]
+    seen = running(rows, key, order, F.col("arrival"))
+    return segments(seen, key, order, F.col("reached_before").isNull() | (F.col("arrival") - F.col("reached_before") >= gap_ms))
 
 
 def hinted_routes(requests: DataFrame, ttl_ms: int = HINT_TTL_MS) -> DataFrame:
     """``(request_id, host, arrival, route, earned)``: a host that needed a browser is sent there for ``ttl_ms``.
 
     A request that went by browser of its own earns the hint; those sent there by a hint do not extend it, so a host
-    gets a fresh chance when the time is up (at that very moment, too).
+    gets a fresh chance when the time is up (at that very moment, too). Hosts are cut where nobody asked for so long
+    that no hint can be left.
     """
     rows = requests.select("request_id", "host", "arrival", "via").where("host is not null and arrival is not null").distinct()
 
@@ -74,7 +84,8 @@ def hinted_routes(requests: DataFrame, ttl_ms: int = HINT_TTL_MS) -> DataFrame:
             state["until"] = at + ttl_ms
         return [(event.request_id, event.host, at, "browser" if hinted else "http", earned)]
 
-    return fold(rows, "host", ["arrival", "request_id"], lambda: {"until": None}, step, "request_id bigint, host string, arrival bigint, route string, earned boolean")
+    rows = _after_gaps(rows, "host", ttl_ms)
+    return fold(rows, "segment", ["arrival", "request_id"], lambda: {"until": None}, step, "request_id bigint, host string, arrival bigint, route string, earned boolean")
 
 
 def cached_answers(requests: DataFrame, ttl_ms: int = HINT_TTL_MS, url_key: str = "key") -> DataFrame:
@@ -88,7 +99,8 @@ def cached_answers(requests: DataFrame, ttl_ms: int = HINT_TTL_MS, url_key: str
             state["until"] = at + ttl_ms
         return [(event.request_id, getattr(event, url_key), at, hit)]
 
-    return fold(rows, url_key, ["arrival", "request_id"], lambda: {"until": None}, step, f"request_id bigint, {url_key} string, arrival bigint, cached boolean")
+    rows = _after_gaps(rows, url_key, ttl_ms)
+    return fold(rows, "segment", ["arrival", "request_id"], lambda: {"until": None}, step, f"request_id bigint, {url_key} string, arrival bigint, cached boolean")
 
 
 def idle_sessions(requests: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -97,10 +109,9 @@ def idle_sessions(requests: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     A request exactly ``idle_ms`` after the one before still belongs to it.
     """
     rows = requests.select("request_id", "session_key", "arrival").where("session_key is not null and arrival is not null").distinct()
-    order = Window.partitionBy("session_key").orderBy("arrival", "request_id")
-    fresh = F.coalesce((F.col("arrival") - F.lag("arrival").over(order) > idle_ms).cast("int"), F.lit(1))
-    numbered = rows.withColumn("_new", fresh).withColumn("session_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy("session_key", "session_no").agg(F.min("arrival").alias("first_at"), F.max("arrival").alias("last_at"), F.count(F.lit(1)).alias("n_requests"))
+    runs = _after_gaps(rows, "session_key", idle_ms + 1).groupBy("session_key", "segment_start").agg(F.min("arrival").alias("first_at"), F.max("arrival").alias("last_at"), F.count(F.lit(1)).alias("n_requests"))
+    number = F.row_number().over(Window.partitionBy("session_key").orderBy("first_at")).cast("bigint")  # a row per session, not per request
+    return runs.select("session_key", number.alias("session_no"), "first_at", "last_at", "n_requests")
 
 
 def pooled_sessions(requests: DataFrame, most: int = MOST_SESSIONS, idle_ms: int = IDLE_MS, pool: str = "host") -> DataFrame:
