@@ -114,6 +114,29 @@ def idle_sessions(requests: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     return runs.select("session_key", number.alias("session_no"), "first_at", "last_at", "n_requests")
 
 
+def session_names(opened: DataFrame, at_col: str = "arrival", order: str = "request_id") -> DataFrame:
+    """``opened`` with ``session_id``: the time of opening and a count over all openings, both to base 36.
+
+    The count runs by time and ``order`` over range partitions, so it is dense without a task for all; rows without a
+    time have no name.
+    """
+    rows = opened.withColumn("_all", F.lit("all")).where(F.col(at_col).isNotNull())
+    counted = running(rows, "_all", [at_col, order], F.lit(0), 1)
+    name = F.concat(F.lit("s_"), F.lower(F.conv(F.col(at_col).cast("string"), 10, 36)), F.lower(F.conv(F.col("reached").cast("string"), 10, 36)))
+    return counted.withColumn("session_id", name).drop("_all", "reached", "reached_before").unionByName(opened.where(F.col(at_col).isNull()).withColumn("session_id", F.lit(None).cast("string")))
+
+
+def session_lookups(asked: DataFrame, pooled: DataFrame) -> DataFrame:
+    """``asked`` (request_id, ...) with ``found`` and ``error``: not_found where the request's session was not open before it.
+
+    ``pooled`` is what :func:`pooled_sessions` makes of the same requests: a request that opened its session, or was
+    refused, asked for one that was not there.
+    """
+    open_ = pooled.select("request_id", (~F.col("opened") & ~F.col("refused")).alias("found"))
+    joined = asked.join(open_, "request_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return joined.withColumn("error", F.when(~F.col("found"), "not_found"))
+
+
 def pooled_sessions(requests: DataFrame, most: int = MOST_SESSIONS, idle_ms: int = IDLE_MS, pool: str = "host") -> DataFrame:
     """``(request_id, pool, session_key, opened, evicted, refused)``: a pool holds ``most`` sessions.
 

@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import redact_outline
+from tessera.functions.urls import url_error
+from tessera.operators import actions as acting
 from tessera.operators import outline as outlining
 from tessera.operators import search as searching
 from tessera.plans import pipelines
@@ -64,6 +67,17 @@ class Engine:
         """``(session_id, seq, changed)`` of outlines (session_id, seq, outline)."""
         return outlining.session_diffs(snapshots)
 
+    def act(self, actions: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+        """What recorded clicks, fills, presses and so on did: arguments, changes without secrets, error, text; see ``performed``."""
+        return acting.performed(actions, sessions)
+
+    def open(self, urls: DataFrame, ax_nodes: DataFrame, dom_nodes: DataFrame, secrets: DataFrame | None = None) -> DataFrame:
+        """``(snapshot_id, url, outline, error)`` of pages opened in a session (snapshot_id, url): the URL is checked, the outline shown without ``secrets`` (snapshot_id, secrets)."""
+        rows = urls.join(self.snapshot(ax_nodes, dom_nodes), "snapshot_id", "left").withColumn("error", url_error(F.col("url")))
+        rows = rows.join(secrets, "snapshot_id", "left") if secrets is not None else rows.withColumn("secrets", F.lit(None).cast("map<string, array<string>>"))
+        shown = F.when(F.col("error").isNull(), redact_outline(F.col("outline"), F.col("secrets")))
+        return rows.select("snapshot_id", "url", shown.alias("outline"), "error")
+
     def register_views(self) -> None:
         """The landed tables as temporary views for SQL."""
         for name in ("pages", "extracted", "scrapes", "cache_rows", "search_responses", "requests", "documents"):

@@ -68,16 +68,18 @@ def classified_pages(spark: SparkSession, folder: str) -> DataFrame:
 _URLS = (("HTTPS://Example.COM:443/a/?b=2&a=1&utm_source=x#f",), ("http://h.example:8080/",), ("https://e.example/x/?b=1&a=2&a=0&b=0",), ("https://e.example",), ("http://e.example:80/p/?gclid=1&si=2",), ("nope",), ("https://e.example/?ref=1&REF_SRC=2",))
 
 
-@_query(f"select distinct url, {sql.normalised('url')} as normalized from (select url from pages union all select url from scrapes union all select * from {_values(*_URLS)} t(url)) where url is not null and url not like 'about:%'")
+_NORMAL = f"coalesce({sql.normalised('url')}, case when url like 'about:%' then url end)"
+
+
+@_query(f"select distinct url, {_NORMAL} as normalized from (select url from pages union all select url from scrapes union all select * from {_values(*_URLS)} t(url))")
 def normalize_url(spark: SparkSession, folder: str) -> DataFrame:
     both = table(spark, folder, "pages").select("url").unionByName(table(spark, folder, "scrapes").select("url")).unionByName(_rows(spark, "url string", *_URLS))
-    both = both.where("url is not null and url not like 'about:%'").distinct()
-    return both.select("url", urls.normalize_url(F.col("url")).alias("normalized"))
+    return both.distinct().select("url", urls.normalize_url(F.col("url")).alias("normalized"))
 
 
-@_query(f"select distinct scrape_id, case when {sql.normalised('url')} is not null then sha256('scrape:' || {sql.normalised('url')} || ':false') end as scrape_key from scrapes where url is null or url not like 'about:%'")
+@_query(f"select distinct scrape_id, sha256('scrape:' || {_NORMAL} || ':false') as scrape_key from scrapes")
 def scrape_key(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "scrapes").select("scrape_id", "url").where("url is null or url not like 'about:%'").distinct()
+    rows = table(spark, folder, "scrapes").select("scrape_id", "url").distinct()
     key = F.when(urls.normalize_url(F.col("url")).isNotNull(), urls.scrape_key(F.col("url")))
     return rows.select("scrape_id", key.alias("scrape_key"))
 
@@ -142,6 +144,22 @@ def resolved_links(spark: SparkSession, folder: str) -> DataFrame:
     return links.select("page_id", F.col("pos").cast("bigint").alias("pos"), urls.resolve_url(F.col("href"), F.col("url")).alias("resolved"))
 
 
+_HARD = ("x", "../x", "./y/../z", "?q=1", "#f", "mailto:a@b.example", "//other.example/p", "/a/./b/../c", "")
+_URL_PATH = "coalesce(nullif(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:/*[^/?#]*([^?#]*)', 1), ''), '/')"
+_URL_DIR = f"regexp_replace({_URL_PATH}, '[^/]*$', '')"
+_URL_QUERY = "regexp_extract(trim(url), '^[^?#]*(\\?[^#]*)', 1)"
+
+
+@_query(f"""select url, href, case href when 'x' then {sql.origin('url')} || {_URL_DIR} || 'x' when '../x' then {sql.origin('url')} || regexp_replace({_URL_DIR}, '[^/]+/$', '') || 'x' when './y/../z' then {sql.origin('url')} || {_URL_DIR} || 'z' when '?q=1' then {sql.origin('url')} || {_URL_PATH} || '?q=1'
+when '#f' then {sql.origin('url')} || {_URL_PATH} || {_URL_QUERY} || '#f' when '//other.example/p' then {sql.scheme('url')} || ':' || href when '/a/./b/../c' then {sql.origin('url')} || '/a/c' when '' then {sql.origin('url')} || {_URL_PATH} || {_URL_QUERY} else href end as resolved
+from (select url, unnest([{', '.join(repr(h) for h in _HARD)}]) as href from (select distinct url from pages where url is not null))""")
+def hard_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Relative addresses of every kind, seen from every page."""
+    pages = table(spark, folder, "pages").select("url").where("url is not null").distinct()
+    rows = pages.select("url", F.explode(F.array(*map(F.lit, _HARD))).alias("href"))
+    return rows.select("url", "href", urls.resolve_url(F.col("href"), F.col("url")).alias("resolved"))
+
+
 # ---- pages
 
 _PAGES = "(select distinct page_id, url, coalesce(html, '') as html, status, content_type from pages)"
@@ -364,10 +382,10 @@ def top_results(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("query_text", F.col("rank").cast("bigint").alias("rank"), "url", "title", "engine")
 
 
-@_query(f"select distinct query_text, 'search_unavailable' as error from search_responses where query_text not in (select query_text from {_BEST})")
+@_query(f"""select query_text, 'search_unavailable' as error, string_agg(provider || ': пустая выдача', '; ' order by case provider when 'searxng' then 1 when 'brave' then 2 else 0 end, provider) as failures from (select distinct query_text, provider from search_responses where query_text not in (select query_text from {_BEST})) group by query_text""")
 def unanswered_queries(spark: SparkSession, folder: str) -> DataFrame:
     responses = _responses(spark, folder)
-    return search.unanswered(responses, search.parse_results(responses)).select("query_text", "error")
+    return search.unanswered(responses, search.parse_results(responses)).select("query_text", "error", "failures")
 
 
 _LANDED = f"(select k, max(markdown) filter (where ok = best) as markdown, bool_or(ok) as ok from (select k, ok, markdown, max(ok) over (partition by k) as best from (select {sql.normalised('p.url')} as k, p.status is null or p.status < 400 as ok, coalesce(e.markdown, '') as markdown from pages p join extracted e on p.page_id = e.page_id)) where k is not null group by k)"
@@ -504,9 +522,53 @@ def action_errors(spark: SparkSession, folder: str) -> DataFrame:
     return actions.resolved(rows, _maps(spark)).select("id", "error")
 
 
-@_query(f"select code, http_status from {_values(*errors.STATUS.items(), ('unheard_of', 500))} t(code, http_status)")
+_CODES = "case error when 'invalid_url' then 400 when 'invalid_query' then 400 when 'invalid_request' then 400 when 'not_found' then 404 when 'too_large' then 413 when 'not_html' then 415 when 'blocked' then 422 when 'busy' then 429 when 'network' then 502 when 'upstream_error' then 502 when 'search_unavailable' then 503 when 'daemon_down' then 503 when 'timeout' then 504 else 500 end"
+_NAMES = ("invalid_url", "invalid_query", "not_html", "blocked", "too_large", "timeout", "network", "search_unavailable", "daemon_down", "upstream_error", "invalid_request", "not_found", "busy", "internal", "unheard_of")
+
+
+@_query(f"select error as code, {_CODES} as http_status from {_values(*((n,) for n in _NAMES))} t(error)")
 def error_statuses(spark: SparkSession, folder: str) -> DataFrame:
-    return _rows(spark, "code string", *((c,) for c in errors.STATUS), ("unheard_of",)).select("code", errors.http_status(F.col("code")).alias("http_status"))
+    return _rows(spark, "code string", *((n,) for n in _NAMES)).select("code", errors.http_status(F.col("code")).alias("http_status"))
+
+
+_FAULTS = (  # error, parent, place, name, code, message
+    (1, None, 0, "TypeError", "", "fetch failed"), (2, 1, 0, "AggregateError", "ECONNREFUSED", ""), (3, 2, 0, "Error", "ECONNREFUSED", "connect ::1"), (4, 2, 1, "Error", "ECONNREFUSED", "connect 127.0.0.1"), (5, 2, 2, "Error", None, "c"), (6, 2, 3, "Error", None, "fourth"),
+    (7, 3, 0, "E3", None, "deep"), (8, 7, 0, "E4", None, "too deep"), (9, None, 0, "Error", None, "alone"),
+)
+
+
+@_query(f"select * from {_values((1, 'TypeError fetch failed [AggregateError (ECONNREFUSED) [Error (ECONNREFUSED) connect ::1 [E3 deep]; Error (ECONNREFUSED) connect 127.0.0.1; Error c]]'), (9, 'Error alone'))} t(error_id, text)")
+def described_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return errors.described(_rows(spark, "error_id int, parent_id int, place int, name string, code string, message string", *_FAULTS))
+
+
+# ---- actions
+
+_STEPS = """(select host as session_id, doc_id as seq, before, text as after, list_extract(['click', 'fill', 'dance', 'press', 'hover', 'scrollTo'], (doc_id % 6 + 1)::int) as method, case when doc_id % 5 = 0 then '1-7' else coalesce(nullif(regexp_extract(before, '\\[(0-[0-9]+)\\]', 1), ''), '0-1') end as element_id, doc_id % 7 = 0 as bare, length(host) % 3 <> 0 as known from (select host, doc_id, text, lag(text) over (partition by host order by doc_id) as before from documents where source = 'outline' and host is not null))"""
+_HIDE = lambda t: f"(case when secret then array_to_string(list_transform(string_split({t}, chr(10)), lambda x: regexp_extract(x, '^(\\s*\\[[^\\]]*\\])', 1) || replace(regexp_replace(x, '^\\s*\\[[^\\]]*\\]', ''), 'the', '%word%')), chr(10)) else {t} end)"
+_ACTED_OLD = f"list_transform(string_split(b, chr(10)), lambda x: {sql.trim_all('x')})"
+
+
+@_query(f"""select session_id, seq, method, args, error, case when error is null then sha256(coalesce(array_to_string(list_transform(n, lambda x: x[indent + 1:]), chr(10)), '')) end as changed_hash from (
+select *, list_min(list_transform(n, lambda x: length(regexp_extract(x, '^([{sql.SPACE}]*)', 1)))) as indent from (
+select *, list_filter(string_split(a, chr(10)), lambda x: {sql.trim_all('x')} <> '' and not list_contains({_ACTED_OLD}, {sql.trim_all('x')})) as n from (
+select session_id, seq, method, case when bare or method in ('click', 'hover', 'dance') then '' when method = 'fill' then 'the x' when method = 'press' then 'Enter' else '40%' end as args, {_HIDE("coalesce(before, '')")} as b, {_HIDE("coalesce(after, '')")} as a,
+case when not known then 'not_found' when method = 'dance' or (bare and method in ('fill', 'press', 'scrollTo')) then 'invalid_request' when element_id like '1-%' then 'not_found' when not list_contains(list_transform(string_split(coalesce(before, ''), chr(10)), lambda x: regexp_extract(x, '^\\s*\\[([^\\]]*)\\]', 1)), element_id) then 'not_found' end as error
+from (select *, coalesce(bool_or(method = 'fill') over (partition by session_id order by seq rows unbounded preceding), false) as secret from {_STEPS}))))""")
+def acted_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Actions recorded between the outlines of each host: resolved, substituted, redacted, compared; the first error stands."""
+    rows = table(spark, folder, "documents").where("source = 'outline' and host is not null")
+    before = F.lag("text").over(Window.partitionBy("host").orderBy("doc_id"))
+    rows = rows.select(F.col("host").alias("session_id"), F.col("doc_id").alias("seq"), before.alias("before"), F.col("text").alias("after"))
+    method = F.element_at(F.array(*map(F.lit, ("click", "fill", "dance", "press", "hover", "scrollTo"))), (F.col("seq") % 6 + 1).cast("int"))
+    address = F.when(F.col("seq") % 5 == 0, "1-7").otherwise(F.coalesce(F.nullif(F.regexp_extract("before", r"\[(0-[0-9]+)\]", 1), F.lit("")), F.lit("0-1")))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("method", method).withColumn("element_id", address)
+    args = F.when(F.col("seq") % 7 == 0, none).when(F.col("method") == "fill", F.array(F.lit("%word% x"))).when(F.col("method") == "press", F.array(F.lit("Enter"))).when(F.col("method") == "scrollTo", F.array(F.lit("40%"))).otherwise(none)
+    rows = rows.withColumn("args", args).withColumn("variables", F.when(F.col("method") == "fill", F.create_map(F.lit("word"), F.lit("the"))))
+    opened = rows.select("session_id").where("length(session_id) % 3 <> 0").distinct()  # the sessions of the others were closed
+    acted = Engine(spark, folder).act(rows, opened)
+    return acted.select("session_id", "seq", "method", F.array_join("args", " ").alias("args"), "error", F.sha2("changed", 256).alias("changed_hash"))
 
 
 _BODIES = (
@@ -537,7 +599,10 @@ def idle_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return pacing.idle_sessions(table(spark, folder, "requests"))
 
 
-@_query()
+@_query("""with recursive r as (select *, row_number() over (partition by host order by arrival, request_id) as k from (select distinct request_id, host, arrival, greatest(coalesce(service_ms, 0), 0) as service_ms from requests where host is not null and arrival is not null)),
+s as (select request_id, host, k, arrival, arrival as start_at, arrival + service_ms as end_at, -1::bigint as other from r where k = 1
+union all select r.request_id, r.host, r.k, r.arrival, greatest(r.arrival, s.start_at + 500, least(s.end_at, s.other)), greatest(r.arrival, s.start_at + 500, least(s.end_at, s.other)) + r.service_ms, greatest(s.end_at, s.other) from s join r on r.host = s.host and r.k = s.k + 1)
+select request_id, host, arrival, start_at, end_at from s""")
 def queued_starts(spark: SparkSession, folder: str) -> DataFrame:
     return pacing.queued_starts(table(spark, folder, "requests"))
 
@@ -553,7 +618,10 @@ def hinted_routes(spark: SparkSession, folder: str) -> DataFrame:
     return pacing.hinted_routes(table(spark, folder, "requests")).select("request_id", "host", "route", "earned")
 
 
-@_query()
+@_query(f"""with recursive r as (select *, row_number() over (partition by key order by arrival, request_id) as k from (select distinct request_id, {sql.normalised('url')} as key, arrival from requests where arrival is not null) where key is not null),
+s as (select request_id, key, arrival, k, false as cached, arrival + {_TTL} as until from r where k = 1
+union all select r.request_id, r.key, r.arrival, r.k, s.until > r.arrival, case when s.until > r.arrival then s.until else r.arrival + {_TTL} end from s join r on r.key = s.key and r.k = s.k + 1)
+select request_id, key, arrival, cached from s""")
 def cached_answers(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "requests").select("request_id", urls.normalize_url(F.col("url")).alias("key"), "arrival")
     return pacing.cached_answers(asked)
@@ -562,3 +630,36 @@ def cached_answers(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def pooled_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return pacing.pooled_sessions(table(spark, folder, "requests"))
+
+
+@_query()
+def found_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of sessions: found, or not_found where the session had not been opened or was closed."""
+    rows = table(spark, folder, "requests").select("request_id", "host", "session_key", "arrival", "service_ms").distinct()
+    return pacing.session_lookups(rows, pacing.pooled_sessions(rows)).select("request_id", "session_key", "found", "error")
+
+
+@_query(f"""select request_id, 's_' || b(arrival) || b(n) as session_id from (select *, row_number() over (order by arrival, request_id) as n from {_ASKED.replace('host is not null and ', '')})""".replace("b(arrival)", "lower(to_base(arrival, 36))").replace("b(n)", "lower(to_base(n, 36))"))
+def named_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "requests").select("request_id", "arrival").where("arrival is not null").distinct()
+    return pacing.session_names(rows).select("request_id", "session_id")
+
+
+# ---- rendered pages
+
+_WALLED, _SHELLED = "<script>window._cf_chl_opt={}</script>", "<body><script>" + "x" * 200 + "</script></body>"
+_RENDERED = f"""(select page_id, url, status, content_type, case when page_id % 4 = 0 then '{_WALLED}' when page_id % 4 = 1 then '{_SHELLED}' else html end as html, case when page_id % 8 < 6 then html end as r_html, coalesce(status, 200) as r_status from (select distinct page_id, coalesce(final_url, url) as url, coalesce(html, '') as html, status, content_type from pages))"""
+_RENDER_JUDGED = f"""(select *, {_walls(sql.markup_only('html'))} as wall, {sql.script_length('html')} as scripts, length({sql.visible_text('html')}) as visible, {_walls(sql.markup_only('r_html'))} as r_wall, {sql.script_length('r_html')} as r_scripts, length({sql.visible_text('r_html')}) as r_visible from {_RENDERED})"""
+_THIN = lambda p, status, typed: f"case when not {typed} then 'content_type' when {p}wall is not null then 'challenge' when {status} in (403, 429, 503) then 'status' when {p}visible = 0 then (case when {p}scripts > 0 then 'thin_spa' else 'empty_body' end) when {p}scripts / {p}visible > 80 then 'thin_spa' when {p}visible < 1200 and {p}scripts / {p}visible > 40 then 'thin_spa' end"
+
+
+@_query(f"""select page_id, via, case when via = 'browser' then r_status else status end as status, case when early is not null then early when reason is not null and r_html is null then (case when wall is not null then 'blocked' when reason = 'status' then 'upstream_error' else 'not_html' end)
+when reason is not null and r_wall is not null then 'blocked' when reason is not null and r_reason is not null and wall is not null then 'blocked' when reason is not null and r_reason = 'status' then 'upstream_error' when reason is not null and r_reason is not null then 'not_html'
+when (case when via = 'browser' then r_status else status end) >= 400 then 'upstream_error' end as error
+from (select *, case when early is null and reason is not null and r_html is not null then 'browser' else 'http' end as via from (select *, case when not {_TEXTUAL} then (case when wall is not null then 'blocked' else 'not_html' end) end as early, {_THIN('', 'status', _TEXTUAL)} as reason, {_THIN('r_', 'r_status', 'true')} as r_reason from {_RENDER_JUDGED}))""")
+def rendered_fetches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page behind a wall, as a shell or as it is, with what a browser made of some of them."""
+    rows = table(spark, folder, "pages").select("page_id", "url", "final_url", F.coalesce("html", F.lit("")).alias("html"), "status", "content_type").distinct()
+    plain = rows.withColumn("html", F.when(F.col("page_id") % 4 == 0, _WALLED).when(F.col("page_id") % 4 == 1, _SHELLED).otherwise(F.col("html")))
+    rendered = rows.where("page_id % 8 < 6").select("page_id", "html", F.coalesce("status", F.lit(200)).alias("status"))
+    return fetch.fetch(plain, rendered).select("page_id", "via", "status", "error")

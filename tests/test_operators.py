@@ -182,3 +182,24 @@ def test_scrape_pipeline(spark):
     asked = spark.createDataFrame([(1, "https://h.example/#x", 500), (2, "https://h.example/", 2_000), (3, "https://A.example/x", 5), (4, "https://a.example/gone", 5), (5, "http://localhost/", 5), (6, None, 5), (7, "https://a.example/x/", 6)], "request_id bigint, url string, arrival bigint")
     got = {r.request_id: (r.title, r.cached, r.error) for r in pipelines.scrape(asked, rows, pages).collect()}
     assert got == {1: ("t", True, None), 2: (None, False, "network"), 3: ("T", False, None), 4: (None, False, "upstream_error"), 5: (None, False, "invalid_url"), 6: (None, False, "invalid_url"), 7: ("T", False, None)}
+
+
+def test_performed_actions(spark):
+    rows = [
+        ("s", 1, "fill", "0-1", ["%pw% %x%"], {"pw": "hunter2"}, "[0-1] textbox: hunter", "[0-1] textbox: hunter2\n  [0-2] text: done"), ("s", 2, "click", "0-2", [], None, "[0-2] text: hunter2", "[0-2] text: hunter2\n[0-3] hunter2"),
+        ("s", 2, "click", "0-2", [], None, "[0-2] text: hunter2", "[0-2] text: hunter2\n[0-3] hunter2"), ("t", 1, "click", "0-2", [], None, "[0-2] hunter2", "[0-2] hunter2"), ("t", 2, "hover", "0-9", [], None, "[0-2] a", None), ("t", 3, "sing", "0-2", None, {}, None, None), (None, 4, "click", "0-1", [], None, "", ""), ("u", 1, "click", "0-1", [], None, "[0-1] a", "b"),
+    ]
+    df = spark.createDataFrame(rows, "session_id string, seq bigint, method string, element_id string, args array<string>, variables map<string, string>, before string, after string")
+    opened = spark.createDataFrame([("s",), ("t",), ("t",)], "session_id string")
+    got = {(r.session_id, r.seq): (r.args, r.changed, r.error) for r in actions.performed(df, opened).collect()}
+    assert got == {
+        ("s", 1): (["hunter2 %x%"], "[0-1] textbox: %pw%\n  [0-2] text: done", None), ("s", 2): ([], "[0-3] %pw%", None), ("t", 1): ([], "", None), ("t", 2): ([], None, "not_found"), ("t", 3): (None, None, "invalid_request"), ("u", 1): ([], None, "not_found"),
+    }
+    assert actions.performed(df.where("false"), opened).count() == 0
+
+
+def test_session_lookups(spark):
+    rows = [(1, "p", "a", 0, 10), (2, "p", "a", 20, 10), (3, "p", "a", 700_000, 1), (4, "p", "b", 700_001, 1), (5, None, "a", 5, 1)]
+    df = spark.createDataFrame(rows, "request_id bigint, host string, session_key string, arrival bigint, service_ms bigint")
+    got = {r.request_id: r.error for r in pacing.session_lookups(df, pacing.pooled_sessions(df)).collect()}
+    assert got == {1: "not_found", 2: None, 3: "not_found", 4: "not_found", 5: "not_found"}
