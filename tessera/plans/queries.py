@@ -108,6 +108,9 @@ def private_ipv6(spark: SparkSession, folder: str) -> DataFrame:
 _FORBIDDEN = ("ftp://x.example/", "file:///etc/passwd", "http://localhost/", "http://localhost./", "http://a.local/", "http://a.internal/", "http://b.home.arpa/", "http://127.0.0.1/", "http://10.0.0.8/", "http://[::1]/", "http://169.254.169.254/latest", "nope", "")
 
 
+_REFUSED = lambda u: f"case when {sql.scheme(u)} in ('http', 'https') and {sql.host(u)} is not null and not regexp_matches({sql.host(u)}, '^localhost\\.?$|\\.(local|localhost|internal|home\\.arpa)\\.?$|^(127|10|169\\.254)\\.|^\\[') then null else 'invalid_url' end"
+
+
 @_query(f"""select url, case when {sql.scheme('url')} in ('http', 'https') and {sql.host('url')} is not null and not regexp_matches({sql.host('url')}, '^localhost\\.?$|\\.(local|localhost|internal|home\\.arpa)\\.?$|^(127|10|169\\.254)\\.|^\\[') then null else 'invalid_url' end as error
 from (select distinct url from scrapes where url is not null union select * from {_values(*((u,) for u in _FORBIDDEN))} t(url))""")
 def allowed_url(spark: SparkSession, folder: str) -> DataFrame:
@@ -444,7 +447,17 @@ def cache_delete(spark: SparkSession, folder: str) -> DataFrame:
     return cache.delete(cache.unexpired(rows, _NOW), rows.where("cache_key < '4'")).select("cache_key", "created_at")
 
 
-@_query()
+_FOUND = f"""(select *, case when {_REFUSED('p_url')} is not null then 'invalid_url' when not {_TEXTUAL} then (case when wall is not null then 'blocked' else 'not_html' end) when wall is not null then 'blocked' when status in (403, 429, 503) then 'upstream_error'
+when visible = 0 or scripts / visible > 80 or (visible < 1200 and scripts / visible > 40) then 'not_html' when status >= 400 then 'upstream_error' end as p_error from (select *, {_walls(sql.markup_only('html'))} as wall, {sql.script_length('html')} as scripts, length({sql.visible_text('html')}) as visible
+from (select {sql.normalised('url')} as key, page_id, coalesce(final_url, url) as p_url, coalesce(html, '') as html, status, content_type from pages where {sql.normalised('url')} is not null qualify row_number() over (partition by {sql.normalised('url')} order by landed_at desc, page_id desc) = 1)))"""
+_HITS = f"""(select sha256('scrape:' || k || ':false') as h, * from (select distinct {sql.normalised('url')} as k from requests)) a join (select cache_key, created_at, expires_at, cache_value from cache_rows where case when json_valid(cache_value) then {_PAYLOAD_SQL} else false end) c on a.h = c.cache_key"""
+
+
+@_query(f"""select request_id, coalesce(case when fault is null then (case when hit is not null then hit->>'$.url' else p_url end) end, url) as url, case when fault is null then (case when hit is not null then hit->>'$.title' when p_error is null then p_title end) end as title,
+case when fault is null then (case when hit is not null then hit->>'$.via' when page_id is not null then 'http' end) end as via, fault is null and hit is not null as cached, case when fault is null then (case when hit is not null then (hit->>'$.status')::double else status::double end) end as status,
+case when fault is not null then fault when hit is null then (case when page_id is null then 'network' else p_error end) end as error
+from (select r.request_id, r.url, {_REFUSED('r.url')} as fault, {sql.normalised('r.url')} as key, max_by(x.cache_value, x.created_at) as hit from (select distinct request_id, url, arrival from requests) r left join (select * from {_HITS}) x on {sql.normalised('r.url')} = x.k and x.created_at <= r.arrival and x.expires_at > r.arrival group by 1, 2, 3, 4) q
+left join (select key, page_id, p_url, status, p_error, coalesce({_HEAD("'(?is)<title[^>]*>(.*?)</title>'")}, {_HEAD("'(?is)<h1[^>]*>(.*?)</h1>'")}, '') as p_title from {_FOUND}) f on q.key = f.key""")
 def scraped_requests(spark: SparkSession, folder: str) -> DataFrame:
     return Engine(spark, folder).scrape().select("request_id", "url", "title", "via", "cached", "status", "error")
 
