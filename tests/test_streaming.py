@@ -54,6 +54,20 @@ def test_cache_upserts(spark, tmp_path):
     assert {(r.cache_key, r.cache_value) for r in stateful.read_cache(spark, str(tmp_path / "cache")).collect()} == {("a", "2"), ("b", "1")}
 
 
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    schema = "cache_key string, cache_value string, created_at bigint, expires_at bigint"
+    folder, cache = str(tmp_path / "w"), tmp_path / "cache"
+    for rows in ([(f"k{k}", "1", 1, 9) for k in range(40)], [("k1", "2", 2, 9)], [("k1", "3", 3, 9), (None, "x", 3, 9)], [("k1", "0", 1, 9)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    writes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stateful.write_cache(writes, str(cache), str(tmp_path / "cp"), buckets=8).awaitTermination()
+    got = {r.cache_key: r.cache_value for r in stateful.read_cache(spark, str(cache)).collect()}
+    assert got == {f"k{k}": "3" if k == 1 else "1" for k in range(40)}
+    epochs = {x.name: len(list(x.glob("bucket=*"))) for x in (cache / "data").glob("epoch=*")}
+    assert max(epochs.values()) == 8 and sorted(epochs.values())[:-1] == [1] * (len(epochs) - 1) and len(epochs) <= 3
+    assert len(list((cache / "manifest").glob("epoch=*"))) <= 3
+
+
 def test_response_log_and_table_function(spark, tmp_path):
     register(spark)
     for provider, body in (("searxng", {"results": [{"url": "u", "title": "t"}, {"url": 1}]}), ("brave", {"web": {"results": [{"url": "v"}]}})):
