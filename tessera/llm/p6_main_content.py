@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many pages train the potentials (they are read by the driver).
-TRAINING_PAGES = 1_500
+TRAINING_PAGES, TRAINING_CANDIDATES = 1_500, 6_000
 BUCKETS, EPOCHS, RATE, DECAY, SEED = 1 << 17, 4, 0.25, 1e-5, 3
 #: How far labels of neighbours agree in the tree of the Markdown: a paragraph with its lines, the text with its paragraphs.
 LINE_TIE, PARAGRAPH_TIE = 0.93, 0.6
@@ -427,9 +427,14 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def training_pages(pages: DataFrame, text_col: str = "html") -> list[str]:
-    rows = pages.where(F.col(text_col).rlike("<(article|main|nav|aside|footer)\\b")).select(text_col).limit(TRAINING_PAGES).collect()
-    return [r[0] for r in rows]
+def training_pages(pages: DataFrame, text_col: str = "html", id_col: str = "page_id") -> list[str]:
+    """Up to ``TRAINING_PAGES`` pages whose markup labels itself, of those with the lowest hashes of their ids: the same in every run."""
+    hashed = pages.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("bigint")).alias("h"), F.col(text_col).alias("t"))
+    lowest = hashed.select("h").distinct().orderBy("h").limit(TRAINING_CANDIDATES).collect()  # hashes first: pages go nowhere but those
+    if not lowest:
+        return []
+    marked = hashed.where(F.col("h") <= lowest[-1].h).where(F.col("t").rlike("<(article|main|nav|aside|footer)\\b"))
+    return [r.t for r in marked.distinct().orderBy("h", "t").limit(TRAINING_PAGES).collect()]
 
 
 def label_content(extracted: DataFrame, pages: DataFrame, *, id_col: str = "page_id", text_col: str = "markdown", html_col: str = "html") -> DataFrame:
@@ -440,7 +445,7 @@ def label_content(extracted: DataFrame, pages: DataFrame, *, id_col: str = "page
     both texts by id; the potentials (512 KB) are trained on the driver on at most ``TRAINING_PAGES`` pages.
     """
     spark = extracted.sparkSession
-    model = spark.sparkContext.broadcast(train(training_pages(pages, html_col)))
+    model = spark.sparkContext.broadcast(train(training_pages(pages, html_col, id_col)))
     texts = extracted.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(text_col).alias("m")).where("page_id is not null and m is not null and trim(m) != ''").dropDuplicates(["page_id"])
     bodies = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("h")).where("page_id is not null").dropDuplicates(["page_id"])
     both = texts.join(bodies, "page_id", "left")
