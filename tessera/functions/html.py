@@ -404,6 +404,41 @@ def _own_head(table: Node) -> bool:
     return False
 
 
+#: Parts of tables. Fixed values.
+TABLE_TAGS = frozenset(("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"))
+
+
+def unwrap_layout_tables(root: Node) -> None:
+    """Tables without a head of their own become plain blocks with all their parts; data tables stay, also within them."""
+    stack = [(root, False)]
+    while stack:
+        node, data = stack.pop()
+        for child in list(node.children):
+            if isinstance(child, str):
+                continue
+            if child.tag in ("col", "colgroup"):
+                child.drop()
+                continue
+            inside = data
+            if child.tag == "table":
+                inside = _own_head(child)
+            if child.tag in TABLE_TAGS and not inside:
+                child.tag = "div"
+            stack.append((child, inside))
+
+
+def _own_rows(table: Node) -> list[Node]:
+    """The rows of a table without those of tables in its cells."""
+    out, stack = [], list(reversed(table.children))
+    while stack:
+        node = stack.pop()
+        if isinstance(node, Node) and node.tag == "tr":
+            out.append(node)
+        elif isinstance(node, Node) and node.tag in TABLE_TAGS and node.tag != "table":
+            stack += reversed(node.children)
+    return out
+
+
 def _inline(node: Node, code: bool = False) -> str:
     out = []
     for child in node.children:
@@ -487,7 +522,7 @@ def _blocks(node: Node) -> list[str]:
             if lines:
                 out.append("\n".join(lines))
         elif tag == "table" and _own_head(child):
-            rows = [[_SPACES.sub(" ", _inline(c)).strip().replace("|", "\\|") for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")] for row in child.all("tr")]
+            rows = [[_SPACES.sub(" ", _inline(c)).strip().replace("|", "\\|") for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")] for row in _own_rows(child)]
             rows = [r for r in rows if r]
             if rows:
                 width = max(map(len, rows))
@@ -505,6 +540,7 @@ def clean_markdown(text: str) -> str:
 
 def to_markdown(content: Node) -> str:
     """The content as Markdown; elements nested too deep for that are given as plain text."""
+    unwrap_layout_tables(content)
     try:
         return clean_markdown("\n\n".join(_blocks(content)))
     except RecursionError:

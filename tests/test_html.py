@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import classify
@@ -48,3 +49,36 @@ def test_verdict_boundaries(spark):
     reason = classify.escalation_reason(*(F.col(c) for c in ("status", "content_type", "wall", "scripts", "visible")), F.lit(0))
     got = {r.k: r.reason for r in rows.select("k", reason.alias("reason")).collect()}
     assert [got[k] for k in range(len(cases))] == [c[1] for c in cases]
+
+
+def _body(html: str, url: str = "https://h.example/dir/page") -> str:
+    return extract(f"<body><article><p>{'long words ' * 30}</p>{html}</article></body>", url)["markdown"].split("\n\n", 1)[-1]
+
+
+@pytest.mark.parametrize(("html", "markdown"), [
+    ("<table><colgroup><col></colgroup><tr><td>a</td><td>b</td></tr></table>", "a\n\nb"),
+    ("<table><tr><th>k</th></tr><tr><td>v</td></tr></table>", "| k |\n| --- |\n| v |"),
+    ("<table><tr><td>left<table><thead><tr><td>k</td></tr></thead><tr><td>v</td></tr></table></td></tr></table>", "left\n\n| k |\n| --- |\n| v |"),
+    ("<table><tr><th>k</th></tr><tr><td>x<table><tr><td>inner</td></tr></table></td></tr></table>", "| k |\n| --- |\n| x inner |"),
+    ("<table><tr><td>nested <table><tr><td>layout</td></tr></table></td></tr></table>", "nested\n\nlayout"),
+    ("<table><tr><th>a|b</th><th></th></tr><tr><td>1</td></tr></table>", "| a\\|b |  |\n| --- | --- |\n| 1 |  |"),
+])
+def test_tables(html, markdown):
+    assert _body(html) == markdown
+
+
+@pytest.mark.parametrize(("html", "there", "absent"), [
+    ('<p>a<img src="x.png" alt="pic">b</p>', "a изображение: pic b", "!["), ('<p>a <img alt="pic"> b</p>', "a изображение: pic b", "  "), ('<p>a<img alt=" ">b</p>', "ab", "изображение"),
+    ('<h2>Head<a href="#head">#</a></h2>', "## Head", "#head"), ('<h2>Head<a href="/dir/page#head"> ¶ </a></h2>', "## Head", "¶"), ('<p><a href="/other#head">#</a></p>', "[#](https://h.example/other#head)", "none"),
+    ('<p><a href="#note">note 1</a></p>', "[note 1](https://h.example/dir/page#note)", "none"), ('<p><a href="/p?utm_source=a&id=1&fbclid=2">l</a></p>', "(https://h.example/p?id=1)", "utm_"), ('<p><a href="mailto:a@b.example">m</a></p>', "[m](mailto:a@b.example)", "none"),
+    ("<p>in\u200bvis\u00adible</p>", "invisible", "\u200b"), ("<pre><code>a\u200bb</code></pre>", "a\u200bb", "none"), ("<p><code>x\u00ady</code></p>", "`x\u00ady`", "none"),
+])
+def test_sanitiser(html, there, absent):
+    markdown = _body(html)
+    assert there in markdown and absent not in markdown
+
+
+@pytest.mark.parametrize(("attributes", "language"), [('class="language-py"', "py"), ('class="x lang-c++"', "c++"), ('class="brush: java; y"', "java"), ('class="highlight-source-shell"', "shell"), ("", "")])
+def test_languages_and_fences(attributes, language):
+    assert _body(f"<pre><code {attributes}>a\nb</code></pre>") == f"```{language}\na\nb\n```"
+    assert _body(f"<pre><code {attributes}>````</code></pre>") == f"`````{language}\n````\n`````"
