@@ -35,8 +35,10 @@ MODULUS = (1 << 31) - 1
 #: standard deviations by which a pair at the wanted similarity may differ more than expected there (a loss of 3e-5).
 SKETCH_BINS, SKETCH_SIGMAS = 128, 4.0
 #: Members of an anchor up to which its pairs are written as they are. Those of anchors with more are cut into blocks of
-#: so many, and of every two blocks only the pairs with sketches alike are written.
-RUN, BLOCK = 64, 4_096
+#: so many, and every two blocks are compared in place.
+RUN, BLOCK = 64, 2_048
+#: Members up to which a shingle is counted pair by pair, and shingles of one slice of the matrices for the others.
+FEW, SLICE = 8, 2_048
 #: So many bare ids may be broadcast (some 50 MB) to save a shuffle of the texts; more are joined by shuffle.
 IDS_BROADCAST = 2_000_000
 #: Texts whose words a worker holds at once.
@@ -212,11 +214,12 @@ def _alike(least: float) -> Column:
     return d <= n * rate + SKETCH_SIGMAS * F.sqrt(n * rate * (1 - rate)) + 1
 
 
-def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs_of_runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, id) sorted by both to pairs of ids with the same anchor, (a, b, null).
 
-    The members of an anchor with more than ``RUN`` of them come out as (id, null, anchor) instead.
+    The members of an anchor with more than ``most`` (``RUN``) of them come out as (id, null, anchor) instead.
     """
+    most = most or RUN
 
     def out(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray | None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
@@ -225,7 +228,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def met(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         lengths = np.diff(np.r_[starts, len(keys)])
-        hot = np.repeat(lengths > RUN, lengths)
+        hot = np.repeat(lengths > most, lengths)
         if hot.any():
             yield out(ids[hot], None, keys[hot])
             keys, ids = keys[~hot], ids[~hot]
@@ -257,7 +260,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if cut:
             yield from met(keys[:cut], ids[:cut])
         keys, ids = keys[cut:], ids[cut:]
-        if len(keys) > RUN:
+        if len(keys) > most:
             hot = keys[0]
             yield out(ids, None, keys)
             keys, ids = keys[:0], ids[:0]
@@ -265,75 +268,105 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from met(keys, ids)
 
 
-def _alike_in_blocks(least: float):
-    """Rows (anchor, low, high, block, id, s0…s3) sorted by the first three to the pairs (a, b) of two blocks, or of one, that are alike."""
-    rate = (1 - least) / 2
-    n = np.arange(SKETCH_BINS + 1)
-    most = n * rate + SKETCH_SIGMAS * np.sqrt(n * rate * (1 - rate)) + 1
-
-    def met(block: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        across = block[0] != block[-1]
-        cut = int(np.searchsorted(block, block[-1])) if across else 0
-        left, right = (slice(0, cut), slice(cut, None)) if across else (slice(None), slice(None))
-        a, b = ids[left], ids[right]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(0, len(a), 128):
-            x, y = marks[left][k : k + 128, None], marks[right][None]
-            both = x[..., :2] & y[..., :2]
-            differ = (x[..., 2:] ^ y[..., 2:]) & both
-            alike = np.bitwise_count(differ).sum(axis=2) <= most[np.bitwise_count(both).sum(axis=2)]
-            i, j = np.nonzero(alike & (True if across else a[k : k + 128, None] < b[None]))
-            out.append((a[k + i], b[j]))
-        first, second = (np.concatenate(z) for z in zip(*out))
-        return np.minimum(first, second), np.maximum(first, second)
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: int | None = None) -> np.ndarray:
+    """(left, right): how many shingles two sets share, for the members at the places ``left`` and ``right``.
+
+    Shingles of up to ``most`` (``FEW``) members are counted pair by pair, the others as a product of 0/1 matrices in slices.
+    """
+    most = most or FEW
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    row_of, column_of = np.full(len(sets), -1), np.full(len(sets), -1)
+    row_of[left], column_of[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.lexsort((owner, column))
+    owner, column = owner[order], column[order]
+    few = (times[column] > 1) & (times[column] <= most)
+    who, what = owner[few], column[few]
+    for apart in range(1, most):
+        same = what[apart:] == what[:-apart]
+        if not same.any():
+            break
+        x, y = who[:-apart][same], who[apart:][same]
+        for i, j in ((x, y), (y, x)):
+            met = (row_of[i] >= 0) & (column_of[j] >= 0)
+            np.add.at(out, (row_of[i[met]], column_of[j[met]]), 1)
+    many = np.flatnonzero(times > most)
+    place = np.full(len(times), -1)
+    place[many] = np.arange(len(many))
+    kept = place[column] >= 0
+    who, what = owner[kept], place[column[kept]]
+    for start in range(0, len(many), SLICE):
+        chosen = (what >= start) & (what < start + SLICE)
+        held = np.zeros((len(sets), min(SLICE, len(many) - start)), dtype=np.float32)
+        held[who[chosen], what[chosen] - start] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def _links_in_blocks(least: float, most: int):
+    """Rows (anchor, low, high, block, id, set) sorted by the first three to the links (a, b, similarity) of two blocks, or of one."""
+
+    def links(keys: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+        block, ids = keys[:, 3], keys[:, 4]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+        across = len(set(block.tolist())) > 1
+        left, right = (np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())) if across else (np.arange(len(ids)),) * 2
+        sizes = np.array([len(x) for x in sets], dtype=np.float32)
+        both = _common(sets, left, right, most)
+        similar = both / (sizes[left][:, None] + sizes[right][None] - both)
+        i, j = np.nonzero((similar >= least - 1e-6) & (True if across else ids[left][:, None] < ids[right][None]))
+        exact = both[i, j].astype(np.float64) / (sizes[left][i].astype(np.float64) + sizes[right][j] - both[i, j])
+        x, y = ids[left][i], ids[right][j]
+        keep = exact >= least
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(exact[keep])], names=["a", "b", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: np.ndarray | None = None
+        rest, raw = np.zeros((0, 5), np.int64), []
         for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            rows = rows if rest is None else np.concatenate([rest, rows])
-            if not len(rows):
+            if not batch.num_rows:
                 continue
-            starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+            rest = np.concatenate([rest, np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]])])
+            raw += batch.column(5).to_pylist()
+            starts = np.flatnonzero(np.r_[True, (rest[1:, :3] != rest[:-1, :3]).any(axis=1)])
             for start, end in zip(starts[:-1], starts[1:]):
-                yield pairs(rows[start:end])
-            rest = rows[starts[-1] :]  # the last blocks may go on
-        if rest is not None and len(rest):
-            yield pairs(rest)
-
-    def pairs(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[np.argsort(rows[:, 3], kind="stable")]
-        a, b = met(rows[:, 3], rows[:, 4], rows[:, 5:].view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield links(rest[start:end], raw[start:end])
+            rest, raw = rest[starts[-1] :], raw[starts[-1] :]  # the last blocks may go on
+        if len(rest):
+            yield links(rest, raw)
 
     return run
 
 
-def _hot_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """Pairs with sketches alike of the members (anchor, id) of hot anchors: every two blocks of an anchor meet in a task of their own."""
-    sizes = members.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
-    cut = members.join(sizes, "anchor").join(marks, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+def _hot_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``(a, b, similarity)`` of the members (anchor, id) of hot anchors with their ``sets`` (id, set), compared exactly in place.
+
+    Members are dealt to blocks, and every two blocks of an anchor meet in a task of their own: no pair leaves it that
+    is no link, and no task holds more than two blocks. Of anchors with the same members only one is read.
+    """
+    named = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
+    sizes = named.groupBy("n", "x", "y").agg(F.min("anchor").alias("anchor")).select("anchor", F.ceil(F.col("n") / BLOCK).cast("bigint").alias("blocks"))
+    cut = members.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     cut = cut.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    cut = cut.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id", *(f"s{k}" for k in range(4)))
-    return cut.repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high").mapInArrow(_alike_in_blocks(least), "a bigint, b bigint")
+    cut = cut.select("anchor", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "id").join(sets, "id")
+    cut = cut.select("anchor", "low", "high", "block", "id", "set").repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high")
+    return cut.mapInArrow(_links_in_blocks(least, FEW), "a bigint, b bigint, similarity double")
 
 
-def meeting_pairs(classes: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``, a < b: representatives that meet at an anchor and whose sketches are alike, each pair once.
+def meetings(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)``, a < b, of representatives that meet at an anchor and whose sketches are alike; members ``(anchor, id)`` of hot anchors.
 
-    Anchors are sorted once and read as runs. Those with more than ``RUN`` members are cut into blocks that meet
-    pairwise, so no task holds more than two blocks of an anchor, whatever part of all rows shares it, and only pairs
-    with sketches alike leave them.
+    Anchors are sorted once and read as runs. Those with more than ``RUN`` members are hot: their pairs are not
+    written, see :func:`_hot_links`.
     """
     reps = classes.where("scrape_id = rep")
     rows = reps.select("rep", "symbols").mapInArrow(_anchor_rows, "anchor bigint, id bigint")
-    runs = rows.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_pairs_of_runs, "a bigint, b bigint, anchor bigint")
+    runs = rows.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(lambda batches, most=RUN: _pairs_of_runs(batches, most), "a bigint, b bigint, anchor bigint")
     runs = settle(runs.distinct())
     met = runs.where("anchor is null").select("a", "b")
-    marks = {x: reps.select(F.col("rep").alias(i), *(F.col("sketch")[k].alias(f"{x}{k}") for k in range(4))) for x, i in (("l", "a"), ("r", "b"), ("s", "id"))}
+    marks = {x: reps.select(F.col("rep").alias(i), *(F.col("sketch")[k].alias(f"{x}{k}") for k in range(4))) for x, i in (("l", "a"), ("r", "b"))}
     alike = met.join(marks["l"], "a").join(marks["r"], "b").where(_alike(least)).select("a", "b")
-    hot = runs.where("anchor is not null").select("anchor", F.col("a").alias("id"))
-    return alike.unionByName(_hot_pairs(hot, marks["s"], least)).distinct()
+    return alike, runs.where("anchor is not null").select("anchor", F.col("a").alias("id"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,13 +402,19 @@ def near_links(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "mar
     ``LEAST_WORDS`` words, null texts and null ids take no part; repeated rows count once.
     """
     classes = classes_of(df, id_col, text_col)
-    pairs = settle(meeting_pairs(classes, least))
-    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    pairs, hot = meetings(classes, least)
+    pairs = settle(pairs)
     texts = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].alias("t")).where("t is not null")
-    texts = texts.join(if_small(needed, IDS_BROADCAST), "id", "left_semi")
-    sets = texts.mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"])
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return texts.join(if_small(settle(ids), IDS_BROADCAST), "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"])
+
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return settle(joined.mapInPandas(_similar(least), "a bigint, b bigint, similarity double")), classes
+    links = joined.mapInPandas(_similar(least), "a bigint, b bigint, similarity double")
+    if not hot.isEmpty():
+        links = links.unionByName(_hot_links(hot, sets_of(hot.select("id").distinct()), least)).dropDuplicates(["a", "b"])
+    return settle(links), classes
 
 
 def near_pairs(df: DataFrame, *, id_col: str = "scrape_id", text_col: str = "markdown", least: float = 0.8) -> DataFrame:

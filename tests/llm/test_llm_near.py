@@ -99,8 +99,8 @@ def test_runs_across_batches_and_hot_anchors(spark, monkeypatch):
         assert pairs == {p for _, m in small for p in itertools.combinations(m, 2)}
         assert hot == {(k, i) for i, k in zip(ids, keys) if k in (3, 5)}
     members = spark.createDataFrame([(k, i) for k, i in sorted(hot)], "anchor bigint, id bigint")
-    marks = spark.createDataFrame([(i, -1, -1, 5, 5) for i in ids], "id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")  # all alike
-    got = [(r.a, r.b) for r in near._hot_pairs(members, marks, 0.6).collect()]
+    sets = spark.createDataFrame([(i, bytearray(np.arange(5, dtype=np.uint64).tobytes())) for i in ids], "id bigint, set binary")  # all alike
+    got = [(r.a, r.b) for r in near._hot_links(members, sets, 0.6).collect()]
     wanted = [p for k in (3, 5) for p in itertools.combinations([i for i, x in zip(ids, keys) if x == k], 2)]
     assert sorted(got) == sorted(wanted)
 
@@ -112,7 +112,7 @@ def test_connected(spark):
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_hot_anchors_give_the_same_pairs_and_no_others(spark, monkeypatch):
+def test_hot_anchors_give_the_same_links(spark, monkeypatch):
     texts = _texts(40, seed=9)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(200)]
@@ -121,19 +121,27 @@ def test_hot_anchors_give_the_same_pairs_and_no_others(spark, monkeypatch):
         for _ in range(rng.randint(0, 12)):
             edited[rng.randrange(200)] = f"x{rng.randrange(10_000)}"
         texts.append((2_000 + k, " ".join(edited)))
+    texts = list({t: (k, t) for k, t in reversed(texts)}.values())  # links are between different texts
     df = spark.createDataFrame([(k, t, "r", 1, "s") for k, t in texts], SCHEMA)
-    classes = near.classes_of(df)
-    plain = {tuple(r) for r in near.meeting_pairs(classes, 0.6).collect()}
-    for run, block in ((1, 4_096), (4, 10)):
+    truth = _truth(texts, 0.6)
+    for run, block, few in ((64, 2_048, 8), (1, 2_048, 3), (4, 10, 100), (30, 25, 8)):
         monkeypatch.setattr(near, "RUN", run)
         monkeypatch.setattr(near, "BLOCK", block)
-        assert {tuple(r) for r in near._hot_pairs(*_hot(near, classes), 0.6).collect()} <= plain
-        assert {tuple(r) for r in near.meeting_pairs(classes, 0.6).collect()} == plain
-
-
-def _hot(near, classes):
-    from pyspark.sql import functions as F
-
-    reps = classes.where("scrape_id = rep")
-    rows = reps.select("rep", "symbols").mapInArrow(near._anchor_rows, "anchor bigint, id bigint")
-    return rows, reps.select(F.col("rep").alias("id"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(4)))
+        monkeypatch.setattr(near, "FEW", few)
+        links = [(r.a, r.b) for r in near.near_links(df, least=0.6)[0].collect()]
+        assert near.meetings(near.classes_of(df), 0.6)[1].isEmpty() == (run == 64)
+        assert len(links) == len(set(links)) and set(links) <= truth and len(links) >= 0.98 * len(truth)
+
+
+def test_common_shingles_against_sets(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(near, "SLICE", 7)
+    for few in (2, 5, 50):
+        monkeypatch.setattr(near, "FEW", few)
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+        for left, right in ((np.arange(30), np.arange(30)), (np.arange(12), np.arange(12, 30))):
+            got = near._common(sets, left, right)
+            wanted = [[len(set(sets[i].tolist()) & set(sets[j].tolist())) for j in right] for i in left]
+            for x, i in enumerate(left):
+                for y, j in enumerate(right):
+                    assert i == j or got[x, y] == wanted[x][y]
