@@ -17,7 +17,7 @@ import xxhash
 
 NOTHING, ERROR, HELP, SCRIPT, FILLER = range(5)
 #: Places that features are hashed to, and passes over the training sentences.
-PLACES, PASSES = 1 << 15, 12
+PLACES, PASSES = 1 << 15, 8
 #: Made sentences of one line of the grammar that are trained on, at most; the lowest hashes are taken.
 MADE = 160
 #: A sentence is a message at this probability, and of a kind at that, if at least such a part of its words is known from messages.
