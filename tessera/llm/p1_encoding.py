@@ -16,13 +16,17 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import escape, unescape
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many clean sentences train the cost model (they are read by the driver).
-TRAINING_ROWS = 5_000
+#: Pairs of characters that a worker counts at once before it hands their counts on; all are counted.
+COUNTED = 1_000_000
+#: A pair of characters as one number: the first one's code point is shifted by so many bits.
+PAIR_SHIFT = 21
 #: Encodings a text may have been read with by mistake, and those it may have been written in. Fixed values.
 WESTERN = ("cp1252", "mac_roman", "cp850", "cp437")
 CYRILLIC = ("cp1251", "koi8_r", "koi8_u", "cp866", "iso8859_5")
@@ -43,7 +47,7 @@ PLAIN_BITS, PLAIN_WORDS = 24.0, 3
 FOREIGN_RUN = 4
 #: A token of at most so many bits a character (and four more) reads like clean text.
 CLEAN_BITS = 6.0
-#: Tokens remembered by a worker; emptied when full.
+#: Tokens, and pairs of characters, remembered by a worker; emptied when full.
 REMEMBERED = 200_000
 
 _TOKEN = regex.compile(r"[^ \t\r\n\f]*[^\x00-\x7f \t\r\n\f][^ \t\r\n\f]*")
@@ -122,11 +126,27 @@ def neutral_bits(char: str) -> float:
     return 11.0
 
 
+class PairBits(dict):
+    """Bits of a pair of characters, None of one that was not trained: sorted arrays, and a dict of those asked for."""
+
+    def __init__(self, codes: np.ndarray, bits: np.ndarray) -> None:
+        super().__init__()
+        self.codes, self.bits = codes, bits
+
+    def __missing__(self, pair: str) -> float | None:
+        code = ord(pair[0]) << PAIR_SHIFT | ord(pair[1])
+        at = int(np.searchsorted(self.codes, code))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[pair] = bits = float(self.bits[at]) if at < len(self.codes) and self.codes[at] == code else None
+        return bits
+
+
 @dataclass
 class Costs:
     """Bits of a character after another one: of the trained languages, and of any language."""
 
-    pairs: dict[str, float]
+    pairs: PairBits
     single: dict[str, float]
     unknown: float
     neutral: dict[str, float] = field(default_factory=dict)
@@ -135,7 +155,7 @@ class Costs:
         """Bits of ``text``; with ``trained`` its letters must be those of the trained languages."""
         total, before, pairs, neutral = 0.0, " ", self.pairs, self.neutral
         for char in text:
-            known = pairs.get(before + char)
+            known = pairs[before + char]
             if known is None:
                 known = self.single.get(char, self.unknown) + 3.0
                 any_language = neutral.get(char)
@@ -156,27 +176,52 @@ def oddness(text: str) -> float:
             + 10.0 * len(_MIXED.findall(text)) + 4.0 * len(_LEAD_PAIR.findall(text)) + 6.0 * len(_CONTROL.findall(text)))
 
 
-def train_costs(sentences: Iterable[str]) -> Costs:
-    """The bigram model of clean sentences; capitals are trained too, since headings may be set in them."""
-    pairs: Counter = Counter()
-    for sentence in sentences:
-        for text, weight in ((sentence, 4), (sentence.upper(), 1), (sentence.title(), 1)):
-            before = " "
-            for char in text + " ":
-                pairs[before + char] += weight
-                before = char
-    first, second = Counter(), Counter()
-    for pair, n in pairs.items():
-        first[pair[0]] += n
-        second[pair[1]] += n
-    total = sum(second.values()) + 1
-    single = {c: -math.log2(n / total) for c, n in second.items()}
+def pair_counts(sentences: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of characters as numbers, and their counts, for each part of the text; a pair comes again in other parts.
+
+    A sentence begins and ends with a space. Capitals count too, since headings may be set in them.
+    """
+    joined = f" {' '.join(sentences)} " if sentences else ""
+    for text, weight in ((joined, 4), (joined.upper(), 1), (joined.title(), 1)):
+        for at in range(0, len(text) - 1, COUNTED):
+            points = np.frombuffer(text[at : at + COUNTED + 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            codes, counts = np.unique(points[:-1] << PAIR_SHIFT | points[1:], return_counts=True)
+            yield codes, weight * counts
+
+
+def costs_of(codes: np.ndarray, counts: np.ndarray) -> Costs:
+    """The bigram model of pairs that come once each, and their counts."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    before, after = codes >> PAIR_SHIFT, codes & (1 << PAIR_SHIFT) - 1
+    first, second = np.bincount(before, counts), np.bincount(after, counts)
+    total = int(counts.sum()) + 1
+    single = {chr(c): -math.log2(second[c] / total) for c in np.flatnonzero(second).tolist()}
     weight = 12.0
-    costs = {}
-    for pair, n in pairs.items():
-        back = second[pair[1]] / total
-        costs[pair] = -math.log2((n + weight * back) / (first[pair[0]] + weight))
-    return Costs(costs, single, math.log2(total) + 3)
+    back = second[after] / total
+    bits = -np.log2((counts + weight * back) / (first[before] + weight))
+    return Costs(PairBits(codes, bits), single, math.log2(total) + 3)
+
+
+def train_costs(sentences: Iterable[str]) -> Costs:
+    """The bigram model of clean sentences."""
+    total: Counter = Counter()
+    for codes, counts in pair_counts(list(sentences)):
+        for code, n in zip(codes.tolist(), counts.tolist()):
+            total[code] += n
+    return costs_of(np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.int64, len(total)))
+
+
+def trained_costs(samples: DataFrame, sample_col: str = "sample_text") -> Costs:
+    """As :func:`train_costs`, of all rows of ``samples``: workers count the pairs, the driver gets each pair once with its sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, counts in (counted for batch in batches for counted in pair_counts(batch.column(0).to_pylist())):
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["pair", "n"])
+
+    counted = samples.select(sample_col).where(F.col(sample_col).isNotNull()).mapInArrow(run, "pair bigint, n bigint")
+    summed = counted.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return costs_of(summed["pair"].to_numpy(), summed["n"].to_numpy())
 
 
 @dataclass(frozen=True)
@@ -396,19 +441,26 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, samples: DataFrame,
 
     ``restored`` is the text with all that could be undone undone; ``whole`` is false where characters were lost
     (U+FFFD), so only a part could be restored. Null and empty texts are no cases, nor are plain ASCII ones, but for
-    pages with character references, which are read as the characters they stand for; repeated rows are repeated; an empty table gives an empty result. Up to ``TRAINING_ROWS`` clean sentences of
-    ``samples`` train the cost model on the driver; without any the model only knows that controls are no text.
-    No shuffle: one pass over the text column.
+    pages with character references, which are read as the characters they stand for; repeated rows are repeated; an empty table gives an empty result. All clean sentences of
+    ``samples`` train the cost model, repeated ones by their number; without any the model only knows that controls are no text.
+    No shuffle of the text column, which is read in one pass; of the samples, only counts of pairs of characters are.
     """
-    rows = samples.select(sample_col).where(F.col(sample_col).isNotNull()).limit(TRAINING_ROWS).collect()
-    costs = train_costs(r[0] for r in rows)
+    return _garbled(df, id_col, text_col, _shared_costs(samples, sample_col), html)
+
+
+def _shared_costs(samples: DataFrame, sample_col: str = "sample_text") -> Broadcast:
+    """The model at every worker; its size is that of the alphabets and not of the samples."""
+    return samples.sparkSession.sparkContext.broadcast(trained_costs(samples, sample_col))
+
+
+def _garbled(df: DataFrame, id_col: str, text_col: str, costs: Broadcast, html: bool) -> DataFrame:
     source = df.select(df[id_col].cast("bigint").alias("row_id"), df[text_col].alias("t"))
     worth = F.expr("octet_length(t) > char_length(t)")
     source = source.where(worth | F.col("t").rlike("&(#[xX]?[0-9a-fA-F]|[a-zA-Z])") if html else worth)
     one = repair_html if html else repair_title
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(costs)
+        repairer = Repairer(costs.value)
         for batch in batches:
             ids, texts, layers, wholes = [], [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -425,6 +477,7 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, samples: DataFrame,
 
 def garbled_fields(pages: DataFrame, extracted: DataFrame, samples: DataFrame) -> DataFrame:
     """``(page_id, field_name, restored, layers, whole)`` of ``pages.html`` and ``extracted.title``, each case once."""
-    both = [find_garbled(pages, "page_id", "html", samples, html=True).withColumn("field_name", F.lit("html")),
-            find_garbled(extracted, "page_id", "title", samples, html=False).withColumn("field_name", F.lit("title"))]
+    costs = _shared_costs(samples)
+    both = [_garbled(pages, "page_id", "html", costs, True).withColumn("field_name", F.lit("html")),
+            _garbled(extracted, "page_id", "title", costs, False).withColumn("field_name", F.lit("title"))]
     return both[0].unionByName(both[1]).dropDuplicates(["row_id", "field_name", "restored"]).select(F.col("row_id").alias("page_id"), "field_name", "restored", "layers", "whole")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tessera.llm import p1_encoding
 from tessera.llm.p1_encoding import CONFUSED, Chain, Repairer, repair_html, repair_title, train_costs
 
 #: Clean texts, divided by bars.
@@ -92,3 +93,21 @@ def test_single_words_amid_clean_text_are_restored(repairer, text, restored):
 
 def test_letters_whose_bytes_are_lost_make_a_case_that_is_not_whole(repairer):
     assert repair_title("One slow host â the visible text", repairer) == ("One slow host â the visible text", [], False)
+
+
+def test_all_rows_of_the_samples_train_the_model(spark, repairer, monkeypatch):
+    known = spark.read.parquet("/root/testdata/sf0.001/lang_samples.parquet").select("sample_text")
+    english = spark.range(20_000).selectExpr("'The plain outline of a page' AS sample_text")
+    samples = english.unionByName(known)
+    bad = garbled(SENTENCES["ru"], Chain("cp1251", "koi8_r"), repairer)
+    rows = spark.createDataFrame([(1, bad)], "page_id BIGINT, title STRING")
+    assert [r.restored for r in p1_encoding.find_garbled(rows, "page_id", "title", samples, html=False).collect()] == [SENTENCES["ru"]]
+
+    # counts of the workers, and counts in parts, are those of all sentences read at once
+    texts = [r[0] for r in samples.collect()]
+    once = train_costs(texts)
+    monkeypatch.setattr(p1_encoding, "COUNTED", 50)
+    for costs in (p1_encoding.trained_costs(samples), train_costs(texts)):
+        assert costs.single == once.single and costs.unknown == once.unknown
+        assert costs.pairs.codes.tolist() == once.pairs.codes.tolist() and costs.pairs.bits.tolist() == once.pairs.bits.tolist()
+    assert once.pairs["Th"] < 4 and once.pairs["qЖ"] is None
